@@ -38,6 +38,12 @@ def _customer_name(key: Column) -> Column:
     return F.concat(F.lit("Customer#"), F.lpad(key.cast("string"), 9, "0"))
 
 
+def _share_in_cents(amount: str, share: Column) -> Column:
+    """A share (whole percents) of an amount, cut to whole cents as on a bill."""
+    percents = F.round(share * 100).cast("long")
+    return F.floor(F.round(F.col(amount) * 100).cast("long") * percents / 100) / 100
+
+
 def lines_with_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
@@ -82,8 +88,10 @@ def supporting_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         only("SHIPPING_NOTICE", shipped).alias("actual_delivery"),
         only("INVOICE", price).alias("billed_amount"),
-        (price * (1 - F.col("l_discount"))).alias("total_amount"),
-        only("CREDIT_MEMO", price * F.col("l_tax")).alias("credit_amount"),
+        _share_in_cents("l_extendedprice", 1 - F.col("l_discount")).alias("total_amount"),
+        only("CREDIT_MEMO", _share_in_cents("l_extendedprice", F.col("l_tax"))).alias(
+            "credit_amount"
+        ),
     )
     of_orders = table(spark, sf_dir, "orders").select(
         F.concat_ws("-", F.lit("PO"), "o_orderkey").alias("document_id"),

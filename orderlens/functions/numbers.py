@@ -15,8 +15,24 @@ def ratio_or_blank(part: Column, whole: Column) -> Column:
 
 
 def fixed(value: Column, digits: int) -> Column:
-    """Fixed-point text; exact halves go to the even neighbour."""
-    return F.format_string(f"%.{digits}f", F.bround(value.cast("double"), digits))
+    """Fixed-point text of a double, rounded from its exact binary value.
+
+    Halves that a double holds exactly go to the even neighbour. The fraction is
+    taken as a whole number of 2^-52, so the decision is integer arithmetic.
+    """
+    scale, unit = 10**digits, 1 << 52
+    size = F.abs(value.cast("double"))
+    whole = F.floor(size)
+    scaled = ((size - whole) * F.lit(float(unit))).cast("long") * scale
+    low = F.shiftright(scaled, 52)
+    rest = scaled - low * unit
+    up = (rest > unit // 2) | ((rest == unit // 2) & (low % 2 == 1))
+    units = whole * scale + low + up.cast("long")
+    carried = whole + F.floor((low + up.cast("long")) / scale)
+    shown = F.lpad((units % scale).cast("string"), digits, "0")
+    whole_text = F.concat(carried.cast("string"), F.lit("."), shown)
+    negative = (value < 0) & (units > 0)
+    return F.when(negative, F.concat(F.lit("-"), whole_text)).otherwise(whole_text)
 
 
 def percent(value: Column, digits: int) -> Column:

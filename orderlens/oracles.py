@@ -107,8 +107,9 @@ CTES: dict[str, str] = {
                    AS actual_delivery,
                CASE WHEN l_returnflag = 'N' AND l_linestatus = 'F' THEN l_extendedprice END
                    AS billed,
-               l_extendedprice * (1 - l_discount) AS total,
-               CASE WHEN l_returnflag = 'R' THEN l_extendedprice * l_tax END AS credit
+               floor(round(l_extendedprice * 100)::bigint * round((1 - l_discount) * 100)::bigint / 100) / 100 AS total,
+               CASE WHEN l_returnflag = 'R' 
+                    THEN floor(round(l_extendedprice * 100)::bigint * round(l_tax * 100)::bigint / 100) / 100 END AS credit
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey
         UNION ALL
         SELECT 'PO-' || o_orderkey, 'PURCHASE_ORDER', {_ORDER_ID.format('o_orderkey')},
