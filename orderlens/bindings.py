@@ -131,7 +131,13 @@ def communications(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "view", "Status update")
     )
     number = F.get_json_object("props", "$.k")
-    events = table(spark, sf_dir, "events").withColumn("body_id", F.col("event_id") % n_docs)
+    # Partitioned for the join; a given number also spreads a single small file.
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    events = (
+        table(spark, sf_dir, "events")
+        .withColumn("body_id", F.col("event_id") % n_docs)
+        .repartition(partitions, "body_id")
+    )
     return events.join(documents, F.col("body_id") == F.col("doc_id"), "left").select(
         F.when(kind == "signup", " nan ")
         .otherwise(F.concat(F.lit("<"), user, F.lit("-"), number, F.lit("@mail>")))

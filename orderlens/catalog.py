@@ -173,11 +173,11 @@ def order_references(spark, sf):
 
 def keyword_counts(spark, sf):
     """Spam-like and complaint-like flags and single word counts of every text."""
-    texts = b.text_corpus(spark, sf)
+    texts = b.text_corpus(spark, sf).withColumn("lowered", F.lower("text"))
     return texts.select(
         "doc_id",
-        text.has_keyword(F.col("text"), ["the", "und", "les", "that"]).alias("has_any"),
-        text.has_keyword(F.col("text"), ["license", "password", "@"]).alias("has_marker"),
+        text.has_keyword(F.col("lowered"), ["the", "und", "les", "that"]).alias("has_any"),
+        text.has_keyword(F.col("lowered"), ["license", "password", "@"]).alias("has_marker"),
         text.count_keyword(F.col("text"), "the").alias("the_count"),
         text.count_keyword(F.col("text"), "en").alias("en_count"),
     )

@@ -20,17 +20,17 @@ def joined_text(*parts: Column) -> Column:
     return F.concat_ws(" ", *[or_empty(part) for part in parts])
 
 
-def has_keyword(text: Column, keywords: Sequence[str]) -> Column:
-    """True when any keyword occurs in the lower-cased text, also inside a word.
+def has_keyword(lowered: Column, keywords: Sequence[str]) -> Column:
+    """True when any keyword occurs in the text, also inside a word.
 
-    A keyword that holds another one adds nothing to the answer and is skipped.
+    The text comes in lower case (as a column of its own, so that it is computed
+    once for all keywords). A keyword that holds another one is skipped.
     """
     needed = [
         word
         for word in dict.fromkeys(keywords)
         if not any(other != word and other in word for other in keywords)
     ]
-    lowered = F.lower(or_empty(text))
     hits = [F.contains(lowered, F.lit(word)) for word in needed]
     return reduce(lambda left, right: left | right, hits, F.lit(False))
 

@@ -24,7 +24,8 @@ def email_fact(
     )
     sent_at = time.parse_instant(F.col("timestamp"), column_type(mails, "timestamp"))
     searchable = text.joined_text(*map(F.col, ["subject", "body", "vendor", "from_company"]))
-    mails = mails.withColumn("timestamp", sent_at).withColumns(
+    mails = mails.withColumns({"timestamp": sent_at, "_searchable": F.lower(searchable)})
+    mails = mails.withColumns(
         {
             "source_message_id": ids.clean_id(F.col("message_id")),
             "customer_id_clean": ids.clean_id(F.col("customer_id")),
@@ -40,10 +41,10 @@ def email_fact(
             "message_scope": text.message_scope(
                 F.col("from_email"), F.col("to_email"), internal_domain
             ),
-            "is_spam_like": text.has_keyword(searchable, spam_keywords),
-            "is_complaint_like": text.has_keyword(searchable, complaint_keywords),
+            "is_spam_like": text.has_keyword(F.col("_searchable"), spam_keywords),
+            "is_complaint_like": text.has_keyword(F.col("_searchable"), complaint_keywords),
             "event_date": time.day_text(F.col("timestamp")),
             "body_preview": text.preview(text.or_empty(F.col("body")), PREVIEW_LENGTH),
         }
-    )
+    ).drop("_searchable")
     return flag_repeats(mails, "source_message_id", "is_duplicate_source_id")
