@@ -18,6 +18,9 @@ from .operators.nearest import HOUR_MICROS, nearest_in_time
 from .pipeline import build_tables
 from .plans import corpus, customers, documents, emails, events, measures, orders, quality, reports
 from .plans.risk_features import order_risk_features
+from .retrieval.index import Index, build_index, distinct_rows, vocabulary_of
+from .retrieval.search import candidates, retrieve
+from .retrieval.summary import answer
 from .session import new_work_dir
 from .sources.raw import file_listing, fingerprint
 from .sources.store import Store
@@ -306,3 +309,58 @@ QUERIES: dict[str, Query] = {
     "relationship_check": relationship_check,
     "raw_fingerprint": raw_fingerprint,
 }
+
+
+# --- Retrieval --------------------------------------------------------------
+
+# Stop words of the questions below; the library default is Spark's English list.
+STOP_WORDS = ["the", "of", "and", "to", "in", "is", "that", "for", "it", "as", "was", "with"]
+
+_indexed: dict[tuple[str, str], Index] = {}
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> Index:
+    """The index over documents and conversations, written once per session."""
+    place = (spark.sparkContext.applicationId, sf_dir)
+    if place not in _indexed:
+        path = new_work_dir(spark, "index")
+        _indexed[place] = build_index(b.text_corpus(spark, sf_dir), path, STOP_WORDS)
+    return _indexed[place]
+
+
+def tfidf_vocabulary(spark, sf):
+    docs = distinct_rows(b.text_corpus(spark, sf))
+    return presented(vocabulary_of(docs, STOP_WORDS).drop("term_id"), 6)
+
+
+def tfidf_candidates(spark, sf):
+    found = candidates(b.questions(spark, sf), text_index(spark, sf), STOP_WORDS, pool=20)
+    return presented(found.select("query_id", "doc_id", "score", "position"), 6)
+
+
+def retrieve_evidence(spark, sf):
+    found = retrieve(b.questions(spark, sf), text_index(spark, sf), stop_words=STOP_WORDS)
+    return presented(
+        found.select(
+            "query_id", "rank", "doc_id", "entity_type", "order_id", "customer_id", "score"
+        ),
+        6,
+    )
+
+
+def evidence_summaries(spark, sf):
+    found = answer(b.questions(spark, sf), text_index(spark, sf), stop_words=STOP_WORDS)
+    return found.select(
+        "query_id", "summary", F.size("evidence").alias("evidence_count"),
+        F.array_join("meta.order_ids", ",").alias("order_ids"),
+    )
+
+
+QUERIES.update(
+    {
+        "tfidf_vocabulary": tfidf_vocabulary,
+        "tfidf_candidates": tfidf_candidates,
+        "retrieve_evidence": retrieve_evidence,
+        "evidence_summaries": evidence_summaries,
+    }
+)

@@ -730,3 +730,106 @@ ORACLES["lifecycle_flow"] = star("""
     UNION ALL SELECT 'All orders', 'No issue', greatest(total - delayed - complaint, 0) FROM flow
     UNION ALL SELECT 'Delayed', 'Credit memo', credit FROM flow
     UNION ALL SELECT 'Complaint', 'Credit memo', credit FROM flow""")
+
+
+# --- Retrieval ---------------------------------------------------------------
+
+_STOP_WORDS = "'the', 'of', 'and', 'to', 'in', 'is', 'that', 'for', 'it', 'as', 'was', 'with'"
+
+
+def _terms(source: str, key: str, text: str) -> str:
+    """key, term, tf of a table of texts."""
+    return f"""
+        SELECT {key}, term, count(*) AS tf
+        FROM (SELECT {key}, unnest(list_concat(w, list_transform(
+                  range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term
+              FROM (SELECT {key}, list_filter(
+                        regexp_extract_all(lower({text}), '[{_WORD}]{{2,}}'),
+                        lambda t: t NOT IN ({_STOP_WORDS})) AS w
+                    FROM {source}))
+        GROUP BY {key}, term"""
+
+
+CTES.update(
+    {
+        "corpus": """
+        SELECT 'document:' || doc_id AS doc_id, 'document' AS entity_type, source AS customer_id,
+               lpad(doc_id::varchar, 10, '0') AS order_id, text FROM documents
+        UNION ALL
+        SELECT 'turn:' || conv_id || ':' || turn, 'email', role,
+               lpad(conv_id::varchar, 10, '0'), text FROM conversations""",
+        "doc_terms": _terms("corpus", "doc_id", "text"),
+        "question_terms": _terms("benchmark", "item_id", "text"),
+        "vocabulary": """
+        SELECT term, sum(tf)::bigint AS total, count(*) AS document_frequency,
+               ln((1 + (SELECT count(*) FROM corpus)) / (1 + count(*))) + 1 AS idf
+        FROM doc_terms GROUP BY term ORDER BY total DESC, term LIMIT 30000""",
+        "doc_vectors": """
+        SELECT doc_id, term,
+               tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc_id)) AS weight
+        FROM doc_terms JOIN vocabulary USING (term)""",
+        "question_vectors": """
+        SELECT item_id, term,
+               tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY item_id)) AS weight
+        FROM question_terms JOIN vocabulary USING (term)""",
+        "matches": """
+        SELECT item_id, doc_id, round(sum(q.weight * d.weight), 9) AS score
+        FROM question_vectors q JOIN doc_vectors d USING (term) GROUP BY item_id, doc_id""",
+        "named_orders": f"""
+        SELECT item_id, order_id FROM (
+            SELECT item_id, nullif(regexp_extract(text, '{_REFERENCE}', 1), '') AS order_id
+            FROM benchmark) WHERE order_id IN (SELECT order_id FROM corpus)""",
+        "candidates": """
+        SELECT b.item_id, c.doc_id, c.entity_type, c.order_id, c.customer_id,
+               coalesce(m.score, 0.0) AS score,
+               row_number() OVER (PARTITION BY b.item_id
+                                  ORDER BY coalesce(m.score, 0.0) DESC, c.doc_id)::int AS position
+        FROM benchmark b CROSS JOIN corpus c
+        LEFT JOIN named_orders n ON n.item_id = b.item_id
+        LEFT JOIN matches m ON m.item_id = b.item_id AND m.doc_id = c.doc_id
+        WHERE n.item_id IS NULL OR n.order_id = c.order_id
+        QUALIFY position <= 20""",
+        "likeness": """
+        SELECT a.item_id, a.doc_id AS one, b.doc_id AS other, sum(v.weight * w.weight) AS likeness
+        FROM candidates a JOIN doc_vectors v ON v.doc_id = a.doc_id
+        JOIN doc_vectors w ON w.term = v.term
+        JOIN candidates b ON b.item_id = a.item_id AND b.doc_id = w.doc_id
+        WHERE a.doc_id <> b.doc_id GROUP BY ALL""",
+        "picked_1": "SELECT *, 1 AS pick FROM candidates WHERE position = 1",
+    }
+)
+for _n in range(2, 6):
+    CTES[f"picked_{_n}"] = f"""
+        SELECT * FROM picked_{_n - 1}
+        UNION ALL
+        SELECT * FROM (
+            SELECT c.*, {_n} AS pick
+            FROM candidates c
+            LEFT JOIN (SELECT s.item_id, s.other, max(s.likeness) AS likeness
+                       FROM likeness s JOIN picked_{_n - 1} p
+                         ON p.item_id = s.item_id AND p.doc_id = s.one
+                       GROUP BY ALL) r ON r.item_id = c.item_id AND r.other = c.doc_id
+            WHERE (c.item_id, c.doc_id) NOT IN (SELECT (item_id, doc_id) FROM picked_{_n - 1})
+            QUALIFY row_number() OVER (
+                PARTITION BY c.item_id
+                ORDER BY round(0.7 * c.score - 0.3 * coalesce(r.likeness, 0), 9) DESC,
+                         c.position) = 1)"""
+
+ORACLES.update(
+    {
+        "tfidf_vocabulary": star(
+            "SELECT term, total, document_frequency, round(idf, 6) AS idf FROM vocabulary"
+        ),
+        "tfidf_candidates": star("""
+        SELECT item_id::varchar AS query_id, doc_id, round(score, 6) AS score, position
+        FROM candidates"""),
+        "retrieve_evidence": star("""
+        SELECT item_id::varchar AS query_id,
+               row_number() OVER (PARTITION BY item_id ORDER BY picked.score DESC, pick)::int
+                   AS rank,
+               doc_id, entity_type, order_id, customer_id, round(picked.score, 6) AS score
+        FROM (SELECT * FROM picked_5
+              QUALIFY row_number() OVER (PARTITION BY item_id, entity_type, order_id
+                                         ORDER BY score DESC, pick) = 1) picked"""),
+    }
+)
