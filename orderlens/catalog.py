@@ -13,14 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bindings as b
+from .constants import TARGETS
 from .functions import ids, numbers, text, time
+from .operators import curves
 from .operators.nearest import HOUR_MICROS, nearest_in_time
+from .operators.running import time_ranked, value_at_quantile
 from .pipeline import build_tables
 from .plans import corpus, customers, documents, emails, events, measures, orders, quality, reports
 from .plans.risk_features import order_risk_features
 from .retrieval.index import Index, build_index, distinct_rows, vocabulary_of
 from .retrieval.search import candidates, retrieve
 from .retrieval.summary import answer
+from .risk import splits
 from .session import new_work_dir
 from .sources.raw import file_listing, fingerprint
 from .sources.store import Store
@@ -364,3 +368,122 @@ QUERIES.update(
         "evidence_summaries": evidence_summaries,
     }
 )
+
+
+# --- Risk: splits, curves and metrics ---------------------------------------
+
+
+def _scored_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """target, label, score: every scored order against its outcome, per target."""
+    joined = built(spark, sf)["fact_order"].join(b.order_scores(spark, sf).drop(
+        "customer_id_clean", "order_created_at"), "order_id")
+    return joined.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(t).alias("target"),
+                        F.col(t).cast("int").alias("label"),
+                        F.col(f"{t}_score").alias("score"),
+                    )
+                    for t in TARGETS
+                ]
+            )
+        )
+    )
+
+
+def _document_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality labels of documents, scored by text length (0 to 1)."""
+    docs = b.table(spark, sf, "documents").select("doc_id", "n_chars", "lang")
+    score = F.round(F.col("n_chars") / (F.col("n_chars") + 1000), 3)
+    return b.table(spark, sf, "labels").join(docs, "doc_id").select(
+        F.col("lang").alias("target"), F.col("quality").alias("label"), score.alias("score")
+    )
+
+
+def precision_recall(spark, sf):
+    return presented(
+        curves.precision_recall_curve(_scored_labels(spark, sf), "target", "label", "score"), 6
+    )
+
+
+def ranking_metrics(spark, sf):
+    return presented(
+        curves.ranking_metrics(_scored_labels(spark, sf), "target", "label", "score"), 6
+    )
+
+
+def best_thresholds(spark, sf):
+    return presented(
+        curves.best_threshold(_scored_labels(spark, sf), "target", "label", "score"), 6
+    )
+
+
+def binary_metrics(spark, sf):
+    found = curves.binary_metrics(
+        _scored_labels(spark, sf), "target", "label", "score", F.lit(0.4)
+    )
+    return presented(found, 6)
+
+
+def label_metrics(spark, sf):
+    found = curves.binary_metrics(
+        _document_labels(spark, sf), "target", "label", "score", F.lit(0.5)
+    )
+    return presented(found, 6)
+
+
+def time_split(spark, sf):
+    """Cutoff of the 80/20 split by time and the rows on both sides."""
+    orders_ = built(spark, sf)["fact_order"]
+    cutoff = value_at_quantile(orders_, "order_created_at", 0.8).scalar()
+    early = F.unix_micros("order_created_at") <= cutoff
+    return orders_.agg(
+        F.max(cutoff).alias("cutoff_micros"),
+        F.count_if(early).alias("train_rows"),
+        F.count_if(~early).alias("test_rows"),
+    )
+
+
+def stratified_split(spark, sf):
+    frame = built(spark, sf)["fact_order"].select(
+        "order_id", F.col("will_be_delayed").cast("int").alias("label")
+    )
+    return splits.stratified_split(frame, "label")
+
+
+def stratified_folds(spark, sf):
+    frame = built(spark, sf)["fact_order"].select(
+        "order_id", F.col("will_be_delayed").cast("int").alias("label")
+    )
+    return splits.stratified_folds(frame, "label")
+
+
+def class_weights(spark, sf):
+    frame = built(spark, sf)["fact_order"].select(F.col("will_be_delayed").cast("int").alias("y"))
+    return presented(splits.class_weights(frame, "y"), 6)
+
+
+def time_ranks(spark, sf):
+    """Global rank by time, the ground of the expanding validation windows."""
+    frame = built(spark, sf)["fact_order"].select("order_id", "order_created_at")
+    return time_ranked(frame, "order_created_at", "order_id", "time_rank").select(
+        "order_id", "time_rank"
+    )
+
+
+QUERIES.update(
+    {
+        "precision_recall": precision_recall,
+        "ranking_metrics": ranking_metrics,
+        "best_thresholds": best_thresholds,
+        "binary_metrics": binary_metrics,
+        "label_metrics": label_metrics,
+        "time_split": time_split,
+        "stratified_split": stratified_split,
+        "stratified_folds": stratified_folds,
+        "class_weights": class_weights,
+        "time_ranks": time_ranks,
+    }
+)

@@ -833,3 +833,106 @@ ORACLES.update(
                                          ORDER BY score DESC, pick) = 1) picked"""),
     }
 )
+
+
+# --- Risk: splits, curves and metrics ----------------------------------------
+
+CTES["order_labels"] = " UNION ALL ".join(
+    f"SELECT '{t}' AS target, {t}::int AS label, {t}_score AS score "
+    f"FROM fact_order JOIN (SELECT order_id, {t}_score FROM scores) USING (order_id)"
+    for t in TARGETS
+)
+CTES["document_labels"] = """
+    SELECT lang AS target, quality AS label, round(n_chars / (n_chars + 1000), 3) AS score
+    FROM labels JOIN documents USING (doc_id)"""
+
+
+def _curve(source: str) -> str:
+    return f"""
+        SELECT target, threshold,
+               sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, pos, neg,
+               sum(pos) OVER (PARTITION BY target) AS p, sum(neg) OVER (PARTITION BY target) AS n
+        FROM (SELECT target, score AS threshold, count_if(label = 1) AS pos,
+                     count_if(label = 0) AS neg FROM {source} GROUP BY ALL)
+        WINDOW w AS (PARTITION BY target ORDER BY threshold DESC)"""
+
+
+def _ranking(source: str) -> str:
+    """AUC as the share of positive-negative pairs in the right order, ties half."""
+    return f"""
+        SELECT target, (SELECT avg(CASE WHEN a.score > b.score THEN 1.0
+                                        WHEN a.score = b.score THEN 0.5 ELSE 0.0 END)
+                        FROM {source} a JOIN {source} b
+                          ON a.target = b.target AND a.label = 1 AND b.label = 0
+                        WHERE a.target = c.target) AS roc_auc,
+               CASE WHEN max(p) > 0 AND max(n) > 0
+                    THEN sum(pos / p * (tp / (tp + fp))) END AS average_precision
+        FROM ({_curve(source)}) c GROUP BY target"""
+
+
+def _confusion(source: str, threshold: str) -> str:
+    return f"""
+        SELECT target, round(avg((label = 1)::int), 6) AS positive_rate,
+               {threshold}::double AS threshold,
+               round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0), 6) AS f1,
+               round(coalesce(tp / nullif(tp + fp, 0), 0.0), 6) AS precision,
+               round(coalesce(tp / nullif(tp + fn, 0), 0.0), 6) AS recall,
+               round(any_value(roc_auc), 6) AS roc_auc,
+               round(any_value(average_precision), 6) AS average_precision
+        FROM {source} JOIN (
+            SELECT target, count_if(score >= {threshold} AND label = 1) AS tp,
+                   count_if(score >= {threshold} AND label = 0) AS fp,
+                   count_if(score < {threshold} AND label = 1) AS fn
+            FROM {source} GROUP BY target) USING (target)
+        JOIN ({_ranking(source)}) r USING (target)
+        GROUP BY target, tp, fp, fn"""
+
+
+_F1 = "2 * pr * rc / (pr + rc + 1e-8)"
+CTES["curve_points"] = f"""
+    SELECT target, threshold, tp::bigint AS true_positives, fp::bigint AS false_positives,
+           tp / (tp + fp) AS pr, coalesce(tp / nullif(p, 0), 0.0) AS rc
+    FROM ({_curve('order_labels')})"""
+
+ORACLES.update(
+    {
+        "precision_recall": star(f"""
+        SELECT target, round(threshold, 6) AS threshold, true_positives, false_positives,
+               round(pr, 6) AS precision, round(rc, 6) AS recall, round({_F1}, 6) AS f1
+        FROM curve_points"""),
+        "ranking_metrics": star(f"""
+        SELECT target, round(roc_auc, 6) AS roc_auc,
+               round(average_precision, 6) AS average_precision
+        FROM ({_ranking('order_labels')})"""),
+        "best_thresholds": star(f"""
+        SELECT target, round(arg_max(threshold, ({_F1}, -threshold)), 6) AS threshold
+        FROM curve_points GROUP BY target"""),
+        "binary_metrics": star(_confusion("order_labels", "0.4")),
+        "label_metrics": star(_confusion("document_labels", "0.5")),
+        "time_split": star("""
+        SELECT cutoff AS cutoff_micros,
+               count_if(epoch_us(order_created_at) <= cutoff)::bigint AS train_rows,
+               count_if(epoch_us(order_created_at) > cutoff)::bigint AS test_rows
+        FROM fact_order, (SELECT quantile_cont(epoch_us(order_created_at)::double, 0.8) AS cutoff
+                          FROM fact_order) q
+        GROUP BY cutoff"""),
+        "stratified_split": star("""
+        SELECT order_id, will_be_delayed::int AS label,
+               row_number() OVER (PARTITION BY will_be_delayed ORDER BY sha1('42|' || order_id))
+               <= round(count(*) OVER (PARTITION BY will_be_delayed) * 0.2) AS is_test
+        FROM fact_order"""),
+        "stratified_folds": star("""
+        SELECT order_id, will_be_delayed::int AS label,
+               ((row_number() OVER (PARTITION BY will_be_delayed
+                                    ORDER BY sha1('folds-42|' || order_id)) - 1) % 3)::int AS fold
+        FROM fact_order"""),
+        "class_weights": star("""
+        SELECT will_be_delayed::int AS label,
+               round((SELECT count(*) FROM fact_order) / (2 * count(*)), 6) AS weight
+        FROM fact_order GROUP BY will_be_delayed"""),
+        "time_ranks": star("""
+        SELECT order_id, row_number() OVER (ORDER BY order_created_at, sha1(order_id)) - 1
+                   AS time_rank
+        FROM fact_order"""),
+    }
+)
