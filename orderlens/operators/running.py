@@ -84,19 +84,22 @@ def value_at_quantile(df: DataFrame, instant: str, share: float) -> DataFrame:
 def time_ranked(df: DataFrame, instant: str, id_column: str, rank: str) -> DataFrame:
     """Zero-based global rank by time; equal times follow the SHA-1 of the id.
 
-    Ranks come from day and hash-prefix buckets instead of one sorted partition.
+    Ranks come from buckets instead of one sorted partition: the hour, the exact
+    instant inside it, and a hash prefix for the rows that share an instant.
     """
+    micros = F.unix_micros(instant)
     slotted = df.withColumns(
         {
-            "_day": F.floor(F.unix_micros(instant) / F.lit(86_400_000_000)),
+            "_hour": F.floor(micros / F.lit(3_600_000_000)),
+            "_instant": micros,
             "_tie": F.sha1(F.col(id_column).cast("string")),
         }
     ).withColumn("_part", F.substring("_tie", 1, 3))
     ranked = running_before(
         slotted,
         [],
-        ["_day", "_part"],
-        [F.col(instant), F.col("_tie")],
+        ["_hour", "_instant", "_part"],
+        [F.col("_tie")],
         {rank: F.lit(1).cast("long")},
     )
-    return ranked.drop("_day", "_tie", "_part")
+    return ranked.drop("_hour", "_instant", "_tie", "_part")
