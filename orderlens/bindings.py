@@ -26,6 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the scan has fewer tasks than that.
+
+    A file with a single row group is a single task, whatever follows; a scan of
+    many files is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _utc(name: str) -> Column:
     return F.col(name).cast("timestamp")
 
@@ -45,7 +55,7 @@ def _share_in_cents(amount: str, share: Column) -> Column:
 
 
 def lines_with_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
+    lines = spread(table(spark, sf_dir, "lineitem"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey)
 
@@ -93,7 +103,7 @@ def supporting_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             "credit_amount"
         ),
     )
-    of_orders = table(spark, sf_dir, "orders").select(
+    of_orders = spread(table(spark, sf_dir, "orders")).select(
         F.concat_ws("-", F.lit("PO"), "o_orderkey").alias("document_id"),
         F.lit("PURCHASE_ORDER").alias("document_type"),
         _order_id(F.col("o_orderkey")).alias("order_number"),
@@ -106,7 +116,7 @@ def supporting_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def business_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.concat(F.lit("\tDOC-"), F.col("doc_id").cast("string"), F.lit(" ")).alias("document_id"),
         F.col("source").alias("document_type"),
         F.lit(None).cast("timestamp").alias("created_date"),
@@ -131,12 +141,8 @@ def communications(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "view", "Status update")
     )
     number = F.get_json_object("props", "$.k")
-    # Partitioned for the join; a given number also spreads a single small file.
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    events = (
-        table(spark, sf_dir, "events")
-        .withColumn("body_id", F.col("event_id") % n_docs)
-        .repartition(partitions, "body_id")
+    events = spread(table(spark, sf_dir, "events")).withColumn(
+        "body_id", F.col("event_id") % n_docs
     )
     return events.join(documents, F.col("body_id") == F.col("doc_id"), "left").select(
         F.when(kind == "signup", " nan ")
@@ -195,7 +201,7 @@ def order_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents and conversations as a retrieval corpus."""
-    documents = table(spark, sf_dir, "documents").select(
+    documents = spread(table(spark, sf_dir, "documents")).select(
         F.concat(F.lit("document:"), F.col("doc_id").cast("string")).alias("doc_id"),
         F.lit("document").alias("entity_type"),
         F.col("doc_id").cast("string").alias("entity_id"),

@@ -5,17 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import NULL_MARKERS, ORDER_REFERENCE_DIGITS
-
-# Unicode white space plus the four information separators.
-_SPACE = r"[\s\x1c-\x1f]"
+from ..constants import NULL_MARKERS, ORDER_REFERENCE_DIGITS, WHITE_SPACE
 
 
 def clean_id(value: Column) -> Column:
     """Strip white space; texts that stand for "missing" become null."""
-    text = F.regexp_replace(
-        value.cast("string"), rf"(?U)\A{_SPACE}+|{_SPACE}+\z", ""
-    )
+    text = F.btrim(value.cast("string"), F.lit(WHITE_SPACE))
     return F.when(~text.isin(NULL_MARKERS), text)
 
 

@@ -52,10 +52,13 @@ def nearest_in_time(
     both = both.withColumn("bucket", F.floor(F.col("t") / F.lit(bucket_micros)))
 
     # One row per bucket: its last and first target, then the nearest of these in
-    # the buckets before and after.
+    # the buckets before and after. Only buckets with probes are kept; counting the
+    # probes also leaves both readers of the inputs with the same columns, so the
+    # aggregated inputs are shuffled once and reused.
     edges = both.groupBy("key", "bucket").agg(
         F.max_by("behind", F.when(F.col("behind").isNotNull(), F.col("t"))).alias("edge_last"),
         F.min_by("ahead", F.when(F.col("ahead").isNotNull(), F.col("t"))).alias("edge_first"),
+        F.sum("probe_count").alias("probes"),
     )
     up = Window.partitionBy("key").orderBy("bucket")
     down = Window.partitionBy("key").orderBy(F.desc("bucket"))
@@ -65,7 +68,8 @@ def nearest_in_time(
         "bucket",
         F.last("edge_last", True).over(up.rowsBetween(*others)).alias("carry_behind"),
         F.last("edge_first", True).over(down.rowsBetween(*others)).alias("carry_ahead"),
-    )
+        "probes",
+    ).where(F.col("probes").isNotNull()).drop("probes")
 
     # Inside a bucket: targets come before probes of the same instant, both ways.
     is_probe = F.col("probe_count").isNotNull()

@@ -14,6 +14,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Joins against small aggregated sides hash those instead of sorting wide rows,
+    # where every partition of the small side is measured to fit.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -32,6 +35,7 @@ def local_session(app: str = "orderlens", cores: str = "*", **settings: str) ->
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", settings.pop("shuffle_partitions", "8"))
         .config("spark.driver.memory", settings.pop("driver_memory", "16g"))
     )
