@@ -79,11 +79,19 @@ def candidates(
     open_queries = asked.join(narrowed.select("query_id"), "query_id", "left_anti")
     scores = match_scores(queries, index, stop_words)
 
-    inside = (
-        narrowed.select("query_id", "order_id")
-        .join(docs.select("order_id", "row_key"), "order_id")
-        .join(scores, ["query_id", "row_key"], "left")
-        .select("query_id", "row_key", F.coalesce("score", F.lit(0.0)).alias("score"))
+    # Inside a named order: its matches, and its first rows as fillers. An order
+    # with very many rows is never paired with the questions as a whole.
+    wanted = narrowed.select("query_id", "order_id")
+    inside = scores.join(wanted, "query_id").join(
+        docs.select("row_key", "order_id"), ["row_key", "order_id"], "left_semi"
+    )
+    leading = Window.partitionBy("order_id").orderBy("row_key")
+    order_fillers = (
+        docs.select("order_id", "row_key")
+        .join(wanted.select("order_id").distinct(), "order_id", "left_semi")
+        .withColumn("n", F.row_number().over(leading))
+        .where(F.col("n") <= pool)
+        .join(wanted, "order_id")
     )
     anywhere = scores.join(open_queries.select("query_id"), "query_id", "left_semi")
     if docs is not index.docs:
@@ -97,9 +105,10 @@ def candidates(
     pairs = (
         anywhere.select("query_id", "row_key", "score")
         .unionByName(filled)
+        .unionByName(inside.select("query_id", "row_key", "score"))
+        .unionByName(order_fillers.select("query_id", "row_key", F.lit(0.0).alias("score")))
         .groupBy("query_id", "row_key")
         .agg(F.max("score").alias("score"))
-        .unionByName(inside)
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_key")
     top = pairs.withColumn("n", F.row_number().over(best)).where(F.col("n") <= pool).drop("n")
