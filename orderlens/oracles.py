@@ -7,7 +7,7 @@ plain way: all pairs in reach, best one per mail.
 
 from __future__ import annotations
 
-from .constants import COMPLAINT_KEYWORDS, SPAM_KEYWORDS, TARGETS
+from .constants import COMPLAINT_KEYWORDS, SPAM_KEYWORDS, TARGETS, THEME_KEYWORDS
 
 _SPACE = r"[\s\v\x{1c}-\x{1f}\x{85}\p{Z}]+"
 _WORD = r"\p{L}\p{N}_"
@@ -754,10 +754,11 @@ CTES.update(
     {
         "corpus": """
         SELECT 'document:' || doc_id AS doc_id, 'document' AS entity_type, source AS customer_id,
-               lpad(doc_id::varchar, 10, '0') AS order_id, text FROM documents
+               lpad(doc_id::varchar, 10, '0') AS order_id, text,
+               'Document ' || source || ' ' || lang AS title FROM documents
         UNION ALL
         SELECT 'turn:' || conv_id || ':' || turn, 'email', role,
-               lpad(conv_id::varchar, 10, '0'), text FROM conversations""",
+               lpad(conv_id::varchar, 10, '0'), text, 'Turn of ' || role FROM conversations""",
         "doc_terms": _terms("corpus", "doc_id", "text"),
         "question_terms": _terms("benchmark", "item_id", "text"),
         "vocabulary": """
@@ -815,8 +816,50 @@ for _n in range(2, 6):
                 ORDER BY round(0.7 * c.score - 0.3 * coalesce(r.likeness, 0), 9) DESC,
                          c.position) = 1)"""
 
+CTES["evidence"] = """
+        SELECT p.*, c.text, c.title,
+               row_number() OVER (PARTITION BY p.item_id ORDER BY p.score DESC, p.pick) AS rank,
+               count(*) OVER (PARTITION BY p.item_id) AS n
+        FROM (SELECT * FROM picked_5
+              QUALIFY row_number() OVER (PARTITION BY item_id, entity_type, order_id
+                                         ORDER BY score DESC, pick) = 1) p
+        JOIN corpus c ON c.doc_id = p.doc_id"""
+CTES["kinds"] = """
+        SELECT item_id, string_agg(c || '/' || n || ' results are ' || entity_type || ' records',
+                                   ' | ' ORDER BY c DESC, first_rank) AS kinds
+        FROM (SELECT item_id, entity_type, any_value(n) AS n, count(*) AS c,
+                     min(rank) AS first_rank
+              FROM evidence GROUP BY item_id, entity_type) GROUP BY item_id"""
+_THEMES = ", ".join(f"('{word}', {i})" for i, word in enumerate(THEME_KEYWORDS))
+CTES["themes"] = f"""
+        SELECT item_id, string_agg(chr(39) || word || chr(39) || ' (' || hits || '×)', ', '
+                                   ORDER BY hits DESC, i) AS themes
+        FROM (SELECT * FROM (
+                  SELECT item_id, word, i, sum((length(lower(text))
+                         - length(replace(lower(text), word, ''))) / length(word))::bigint AS hits
+                  FROM evidence CROSS JOIN (VALUES {_THEMES}) t(word, i)
+                  GROUP BY item_id, word, i)
+              WHERE hits > 0
+              QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, i) <= 3)
+        GROUP BY item_id"""
+
 ORACLES.update(
     {
+        "evidence_summaries": star("""
+        SELECT item_id::varchar AS query_id,
+               'Retrieved ' || count(*) || ' evidence records. Relevant orders: '
+               || array_to_string(list_sort(list_distinct(list(order_id)))[1:5], ', ')
+               || '. Relevant customers: '
+               || array_to_string(list_sort(list_distinct(list(customer_id)))[1:5], ', ')
+               || '. ' || any_value(kinds)
+               || coalesce(' | Key themes: ' || any_value(themes), '') || '. Highlights: '
+               || string_agg('[' || entity_type || '] ' || title || ': ' || left(text, 180),
+                             ' — ' ORDER BY rank) FILTER (rank <= 3)
+               || ' (Extractive summary — based only on retrieved records.)' AS summary,
+               count(*)::int AS evidence_count,
+               array_to_string(list_sort(list_distinct(list(order_id))), ',') AS order_ids
+        FROM evidence JOIN kinds USING (item_id) LEFT JOIN themes USING (item_id)
+        GROUP BY item_id"""),
         "tfidf_vocabulary": star(
             "SELECT term, total, document_frequency, round(idf, 6) AS idf FROM vocabulary"
         ),
