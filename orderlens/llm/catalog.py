@@ -5,10 +5,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import decontaminate, exact, oracles, packing
+from orderlens.llm import decontaminate, exact, oracles, packing, pii, simhash, warc
 from orderlens.llm.common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -22,10 +26,21 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op1_pii": op1_pii,
     "op3_exact_dedup": op3_exact_dedup,
     "op6_decontamination": op6_decontamination,
     "op8_packing": op8_packing,
+    "op9_warc": op9_warc,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLES = oracles.ORACLES
