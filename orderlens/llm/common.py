@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlens.session import ensure_checkpoint_dir, written
 
+_HOME = str(Path(__file__).resolve().parents[2])
 # Arrow batches are bounded by rows and by bytes, so that very long texts do not
 # pile up in one Python worker.
 BATCH_ROWS = 2_000
@@ -17,6 +21,11 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     ensure_checkpoint_dir(spark)
+    # Python workers find this package as the driver does, wherever the driver was started.
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if _HOME not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([_HOME, *filter(None, paths)])
     return spark
 
 
