@@ -5,7 +5,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import decontaminate, exact, language, oracles, packing, pii, simhash, toxicity, warc
+from orderlens.llm import (
+    compress,
+    decontaminate,
+    exact,
+    language,
+    oracles,
+    packing,
+    pages,
+    pii,
+    simhash,
+    toxicity,
+    warc,
+)
 from orderlens.llm.common import table
 
 
@@ -25,11 +37,19 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.digest(decontaminate.decontaminate(docs, benchmark))
 
 
+def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -42,15 +62,24 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_language": op2_language,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_main_text": op5_main_text,
     "op6_decontamination": op6_decontamination,
+    "op7_ppm": op7_ppm,
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
     "op10_simhash": op10_simhash,
+    "pipeline": pipeline,
 }
 
 ORACLES = oracles.ORACLES
