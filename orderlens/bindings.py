@@ -26,16 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the scan has fewer tasks than that.
-
-    A file with a single row group is a single task, whatever follows; a scan of
-    many files is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _utc(name: str) -> Column:
     return F.col(name).cast("timestamp")
 
@@ -44,6 +34,11 @@ def _order_id(key: Column) -> Column:
     return F.lpad(key.cast("string"), 10, "0")
 
 
+def _order_customer(order: str = "o_orderkey") -> Column:
+    """Every fiftieth order has no customer."""
+    return F.when(F.col(order) % 50 != 0, F.col("o_custkey").cast("string"))
+
+
 def _customer_name(key: Column) -> Column:
     return F.concat(F.lit("Customer#"), F.lpad(key.cast("string"), 9, "0"))
 
@@ -55,7 +50,7 @@ def _share_in_cents(amount: str, share: Column) -> Column:
 
 
 def lines_with_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spread(table(spark, sf_dir, "lineitem"))
+    lines = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey)
 
@@ -66,7 +61,7 @@ def erp_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         _utc("o_orderdate").alias("CREATIONDATE"),
         F.concat(F.lit("PL"), F.col("l_suppkey").cast("string")).alias("PLANT"),
         F.lpad(F.col("l_partkey").cast("string"), 6, "0").alias("PRODUCT"),
-        F.col("o_custkey").cast("string").alias("SOLDTOPARTY"),
+        _order_customer().alias("SOLDTOPARTY"),
         F.concat("l_returnflag", "l_linestatus").alias("SHIPPINGPOINT"),
         F.lpad(F.col("l_linenumber").cast("string"), 4, "0").alias("SALESDOCUMENTITEM"),
     )
@@ -97,13 +92,16 @@ def supporting_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             "expected_delivery"
         ),
         only("SHIPPING_NOTICE", shipped).alias("actual_delivery"),
-        only("INVOICE", price).alias("billed_amount"),
+        # Second lines are billed with an amount that is not a number.
+        only("INVOICE", F.when(F.col("l_linenumber") == 2, F.lit(float("nan"))).otherwise(price)).alias(
+            "billed_amount"
+        ),
         _share_in_cents("l_extendedprice", 1 - F.col("l_discount")).alias("total_amount"),
         only("CREDIT_MEMO", _share_in_cents("l_extendedprice", F.col("l_tax"))).alias(
             "credit_amount"
         ),
     )
-    of_orders = spread(table(spark, sf_dir, "orders")).select(
+    of_orders = table(spark, sf_dir, "orders").select(
         F.concat_ws("-", F.lit("PO"), "o_orderkey").alias("document_id"),
         F.lit("PURCHASE_ORDER").alias("document_type"),
         _order_id(F.col("o_orderkey")).alias("order_number"),
@@ -116,7 +114,7 @@ def supporting_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def business_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents")).select(
+    return table(spark, sf_dir, "documents").select(
         F.concat(F.lit("\tDOC-"), F.col("doc_id").cast("string"), F.lit(" ")).alias("document_id"),
         F.col("source").alias("document_type"),
         F.lit(None).cast("timestamp").alias("created_date"),
@@ -141,7 +139,7 @@ def communications(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "view", "Status update")
     )
     number = F.get_json_object("props", "$.k")
-    events = spread(table(spark, sf_dir, "events")).withColumn(
+    events = table(spark, sf_dir, "events").withColumn(
         "body_id", F.col("event_id") % n_docs
     )
     return events.join(documents, F.col("body_id") == F.col("doc_id"), "left").select(
@@ -154,7 +152,9 @@ def communications(spark: SparkSession, sf_dir: str) -> DataFrame:
         subject.alias("subject"),
         "body",
         (_utc("ts") - F.expr("INTERVAL '25' YEAR")).alias("timestamp"),
-        F.when(kind != "view", F.concat(F.lit("  "), user, F.lit(" "))).alias("customer_id"),
+        F.when(kind == "signup", F.concat(F.lit("NEW-"), user))  # in no order
+        .when(kind != "view", F.concat(F.lit("  "), user, F.lit(" ")))
+        .alias("customer_id"),
         F.concat(F.lit("Vendor"), F.col("event_id").cast("string")).alias("vendor"),
         F.when(kind != "view", "Client").alias("from_company"),
         F.when(kind == "error", F.concat(F.lit("User "), user)).alias("from_name"),
@@ -177,11 +177,11 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def order_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A score per order and target; orders with status P stay unscored.
+    """A score per order and target.
 
     The cents of the total price, shifted per target, stand in for a model.
     """
-    orders = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") != "P")
+    orders = table(spark, sf_dir, "orders")
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
     scores = {
         f"{target}_score": F.pmod(cents * (i + 3), F.lit(1000)) / 1000
@@ -189,7 +189,7 @@ def order_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     return orders.select(
         _order_id(F.col("o_orderkey")).alias("order_id"),
-        F.col("o_custkey").cast("string").alias("customer_id_clean"),
+        _order_customer().alias("customer_id_clean"),
         _utc("o_orderdate").alias("order_created_at"),
         *[score.alias(name) for name, score in scores.items()],
         *[
@@ -201,7 +201,7 @@ def order_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents and conversations as a retrieval corpus."""
-    documents = spread(table(spark, sf_dir, "documents")).select(
+    documents = table(spark, sf_dir, "documents").select(
         F.concat(F.lit("document:"), F.col("doc_id").cast("string")).alias("doc_id"),
         F.lit("document").alias("entity_type"),
         F.col("doc_id").cast("string").alias("entity_id"),

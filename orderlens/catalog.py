@@ -21,7 +21,7 @@ from .operators.running import time_ranked, value_at_quantile
 from .pipeline import build_tables
 from .plans import corpus, customers, documents, emails, events, measures, orders, quality, reports
 from .plans.risk_features import order_risk_features
-from .retrieval.index import Index, build_index, distinct_rows, vocabulary_of
+from .retrieval.index import Index, build_index, distinct_rows, term_counts, vocabulary_of
 from .retrieval.search import candidates, retrieve
 from .retrieval.summary import answer
 from .risk import models, splits
@@ -61,18 +61,19 @@ def presented(df: DataFrame, digits: int = 4) -> DataFrame:
 
 
 def _emails(spark, sf):
-    return emails.email_fact(b.communications(spark, sf), b.INTERNAL_DOMAIN)
+    return emails.email_rows(b.communications(spark, sf), b.INTERNAL_DOMAIN)
 
 
 def _documents(spark, sf):
-    return documents.document_fact(
+    return documents.document_rows(
         b.supporting_documents(spark, sf), b.business_documents(spark, sf)
     )
 
 
 def email_fact(spark, sf):
+    facts = emails.email_fact(b.communications(spark, sf), b.INTERNAL_DOMAIN)
     return presented(
-        _emails(spark, sf).select(
+        facts.select(
             "message_id", "from_email", "to_email", "cc_recipients", "timestamp",
             "source_message_id", "customer_id_clean", "linked_order_id", "canonical_message_id",
             "message_scope", "is_spam_like", "is_complaint_like", "is_duplicate_source_id",
@@ -82,8 +83,11 @@ def email_fact(spark, sf):
 
 
 def document_fact(spark, sf):
+    facts = documents.document_fact(
+        b.supporting_documents(spark, sf), b.business_documents(spark, sf)
+    )
     return presented(
-        _documents(spark, sf).select(
+        facts.select(
             "order_id", "customer_id_clean", "source_document_id", "source_dataset",
             "document_type", "canonical_document_id", "is_duplicate_source_id",
             "event_timestamp", "event_date", "revenue_amount", "cost_amount", "refund_amount",
@@ -274,7 +278,7 @@ QUERIES: dict[str, Query] = {
     "text_previews": text_previews,
     "calendar_parts": calendar_parts,
     "monthly_change_text": monthly_change_text,
-    "headline_kpis": _report(reports.headline_kpis, ORDERS, digits=6),
+    "headline_kpis": _report(reports.headline_kpis, ORDERS, CUSTOMERS, digits=6),
     "monthly_trend": _report(reports.monthly_trend, ORDERS),
     "issue_customer_zscores": _report(reports.issue_customer_zscores, CUSTOMERS, digits=4),
     "lifecycle_flow": _report(reports.lifecycle_flow, ORDERS),
@@ -334,7 +338,8 @@ def text_index(spark: SparkSession, sf_dir: str) -> Index:
 
 def tfidf_vocabulary(spark, sf):
     docs = distinct_rows(b.text_corpus(spark, sf))
-    return presented(vocabulary_of(docs, STOP_WORDS).drop("term_id"), 6)
+    counts = term_counts(docs, ["row_key", "copies"], STOP_WORDS)
+    return presented(vocabulary_of(docs, counts), 6)
 
 
 def tfidf_candidates(spark, sf):
@@ -491,9 +496,7 @@ QUERIES.update(
 
 # --- Risk: fits over the whole feature table (checked by rows only) ----------
 
-# The boosting rounds are cut from 250 to keep a run short; everything else is
-# the default.
-RISK_OPTIONS = models.Options(boosting_rounds=5)
+RISK_OPTIONS = models.Options()
 RISK_TARGET = "will_be_delayed"
 
 _frames: dict[tuple[str, str], DataFrame] = {}

@@ -62,8 +62,6 @@ EVENT_TIME_BY_TYPE = {
 COMPLAINT_TOLERANCE_DAYS = 60
 PREVIEW_LENGTH = 280
 HIGHLIGHT_LENGTH = 180
-EMAIL_CORPUS_CAP = 25_000
-VOCABULARY_SIZE = 30_000
 TOP_K = 5
 CANDIDATES_PER_RESULT = 4
 MMR_LAMBDA = 0.7

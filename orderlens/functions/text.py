@@ -55,9 +55,14 @@ def message_scope(sender: Column, receiver: Column, internal_domain: str) -> Col
     )
 
 
+def collapsed(text: Column) -> Column:
+    """White space collapsed to single spaces."""
+    return F.regexp_replace(text, _SPACES, " ")
+
+
 def preview(text: Column, length: int) -> Column:
     """White space collapsed to single spaces, then the leading characters."""
-    return F.substring(F.regexp_replace(text, _SPACES, " "), 1, length)
+    return F.substring(collapsed(text), 1, length)
 
 
 def document_summary(kind: Column, order_id: Column, customer_name: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Flag rows with repeated keys without gathering a hot key in one task."""
+"""Flag rows with repeated keys."""
 
 from __future__ import annotations
 
@@ -7,36 +7,22 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import joinable
 
-# The broadcast below holds at most this many keys, whatever the data size. Any
-# key beyond the list has fewer rows than 1/1000 of the table.
-HOTTEST_KEYS = 1000
-SPREAD = 4096
 
-
-def flag_repeats(df: DataFrame, key: str, flag: str) -> DataFrame:
+def flag_repeats(df: DataFrame, keys: DataFrame, key: str, flag: str) -> DataFrame:
     """True on every row whose (cleaned) key occurs more than once; null is a key.
 
-    The keys are counted with map-side partial sums. Rows of the most frequent
-    keys get their answer from a bounded broadcast and are spread over the
-    shuffle by row hash; all other rows meet the counts in an ordinary join.
+    `keys` holds the key of every row and nothing else, read before the rows were joined
+    or parsed. They are counted with map-side partial sums; the repeated ones meet the
+    rows in one left join, which adaptive execution broadcasts, or splits at a hot key.
     """
-    rows = df.withColumn("_key", joinable(F.col(key)))
-    repeated = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    hottest = (
-        repeated.orderBy(F.desc("_n"), "_key")
-        .limit(HOTTEST_KEYS)
-        .select("_key", F.lit(True).alias("_hot"))
-    )
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(SPREAD)).cast("string")
-    slot = F.when(F.col("_hot"), F.concat(F.lit("spread:"), spread)).otherwise(
-        F.concat(F.lit("key:"), F.col("_key"))
-    )
-    marked = rows.join(F.broadcast(hottest), "_key", "left").withColumn("_slot", slot)
-    others = repeated.select(
-        F.concat(F.lit("key:"), "_key").alias("_slot"), F.lit(True).alias("_again")
+    repeated = (
+        keys.groupBy(joinable(F.col(key)).alias("_key"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where("_n > 1")
+        .select(F.col("_key").alias("_again"))
     )
     return (
-        marked.join(others, "_slot", "left")
-        .withColumn(flag, F.coalesce("_hot", "_again", F.lit(False)))
-        .drop("_slot", "_key", "_hot", "_again")
+        df.join(repeated, joinable(F.col(key)) == F.col("_again"), "left")
+        .withColumn(flag, F.col("_again").isNotNull())
+        .drop("_again")
     )

@@ -64,7 +64,8 @@ CTES: dict[str, str] = {
                     WHEN 'view' THEN 'Status update' END AS subject,
                d.text AS body,
                ts - INTERVAL 25 YEAR AS timestamp,
-               CASE WHEN event_type <> 'view' THEN '  ' || user_id || ' ' END AS customer_id,
+               CASE WHEN event_type = 'signup' THEN 'NEW-' || user_id
+                    WHEN event_type <> 'view' THEN '  ' || user_id || ' ' END AS customer_id,
                'Vendor' || event_id AS vendor,
                CASE WHEN event_type <> 'view' THEN 'Client' END AS from_company,
                CASE WHEN event_type = 'error' THEN 'User ' || user_id END AS from_name,
@@ -105,8 +106,8 @@ CTES: dict[str, str] = {
                     THEN o_orderdate + INTERVAL 30 DAY END AS expected_delivery,
                CASE WHEN l_returnflag = 'N' AND l_linestatus <> 'F' THEN l_shipdate END
                    AS actual_delivery,
-               CASE WHEN l_returnflag = 'N' AND l_linestatus = 'F' THEN l_extendedprice END
-                   AS billed,
+               CASE WHEN l_returnflag = 'N' AND l_linestatus = 'F' AND l_linenumber <> 2
+                    THEN l_extendedprice END AS billed,
                floor(round(l_extendedprice * 100)::bigint * round((1 - l_discount) * 100)::bigint / 100) / 100 AS total,
                CASE WHEN l_returnflag = 'R' 
                     THEN floor(round(l_extendedprice * 100)::bigint * round(l_tax * 100)::bigint / 100) / 100 END AS credit
@@ -131,17 +132,17 @@ CTES: dict[str, str] = {
                {_days('actual_delivery', 'expected_delivery')} AS delivery_lag_days,
                document_type || ' for order ' || order_number || ', customer ' || customer_name
                    AS content_summary,
-               customer_name
+               customer_name, NULL::varchar AS content
         FROM supporting
         UNION ALL
         SELECT NULL, NULL, 'DOC-' || doc_id, 'business_documents', source,
                {_key('business', "chr(9) || 'DOC-' || doc_id || ' '", 'source', 'NULL')},
                count(*) OVER (PARTITION BY doc_id) > 1, NULL, NULL, 0.0, 0.0, 0.0, NULL,
-               left(regexp_replace(text, '{_SPACE}', ' ', 'g'), 280), NULL
+               left(regexp_replace(text, '{_SPACE}', ' ', 'g'), 280), NULL, text
         FROM documents""",
     "lines": f"""
         SELECT {_ORDER_ID.format('l_orderkey')} AS order_id, o_orderdate AS created,
-               o_custkey::varchar AS customer, lpad(l_linenumber::varchar, 4, '0') AS item,
+               CASE WHEN o_orderkey % 50 <> 0 THEN o_custkey::varchar END AS customer, lpad(l_linenumber::varchar, 4, '0') AS item,
                lpad(l_partkey::varchar, 6, '0') AS product, 'PL' || l_suppkey AS plant,
                l_returnflag || l_linestatus AS point
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
@@ -306,11 +307,12 @@ CTES: dict[str, str] = {
                p AS (PARTITION BY primary_plant ORDER BY order_created_at, order_id
                      ROWS UNBOUNDED PRECEDING)""",
     "scores": f"""
-        SELECT {_ORDER_ID.format('o_orderkey')} AS order_id, o_custkey::varchar AS customer_id_clean,
+        SELECT {_ORDER_ID.format('o_orderkey')} AS order_id,
+               CASE WHEN o_orderkey % 50 <> 0 THEN o_custkey::varchar END AS customer_id_clean,
                o_orderdate AS order_created_at, {', '.join(
                    f"((round(o_totalprice * 100)::bigint * {i + 3}) % 1000) / 1000 AS {t}_score"
                    for i, t in enumerate(TARGETS))}
-        FROM orders WHERE o_orderstatus <> 'P'""",
+        FROM orders""",
     "months": """
         SELECT m.month, coalesce(n, 0) AS complaint_orders,
                lag(coalesce(n, 0)) OVER (ORDER BY m.month) AS previous_orders
@@ -352,6 +354,9 @@ _ORDER_COLUMNS = f"""
 _RISK = [f"{t}_score" for t in TARGETS]
 _MEAN_ALL = "(" + " + ".join(f"coalesce({c}, 0)" for c in _RISK) + ") / 3"
 _SHARE = "count_if({})::double / count(*)"
+_SAME_ORDER = " AND ".join(
+    f"f.{k} IS NOT DISTINCT FROM s.{k}" for k in ["order_id", "customer_id_clean", "order_created_at"]
+)
 _BY_ISSUE = "ORDER BY issue_rate DESC, order_count DESC, customer_id_clean ASC NULLS LAST"
 
 ORACLES: dict[str, str] = {
@@ -429,7 +434,7 @@ ORACLES: dict[str, str] = {
                customer_id_clean AS customer_id, order_id, 'order_summary' AS document_type,
                order_created_at::date::varchar AS event_date,
                'Order ' || order_id || ' summary' AS title,
-               'Order ' || order_id || ' for customer ' || customer_id_clean || ' created on '
+               'Order ' || order_id || ' for customer ' || coalesce(customer_id_clean, '<NA>') || ' created on '
                || order_created_at::date || '. ' || order_line_count || ' lines, '
                || document_count || ' documents, ' || linked_email_count
                || ' emails, max delivery lag ' || max_delivery_lag_days || ' days, complaint='
@@ -454,16 +459,14 @@ ORACLES: dict[str, str] = {
                coalesce(subject, 'Email'),
                'From ' || coalesce(from_name, from_email, 'unknown') || ' to '
                || coalesce(to_name, to_email, 'unknown') || '. ' || coalesce(subject, '') || '. '
-               || body_preview
-        FROM (SELECT * FROM fact_email WHERE is_complaint_like OR linked_order_id IS NOT NULL
-              ORDER BY is_complaint_like DESC, timestamp, canonical_message_id, body_preview
-              LIMIT 25000)
+               || regexp_replace(coalesce(body, ''), '{_SPACE}', ' ', 'g')
+        FROM fact_email WHERE is_complaint_like OR linked_order_id IS NOT NULL
         UNION ALL
         SELECT 'document:' || canonical_document_id, 'document', canonical_document_id,
                customer_id_clean, order_id, coalesce(document_type, 'document'), event_date,
                coalesce(document_type, 'Document') || ' ' || coalesce(source_document_id, ''),
-               coalesce(content_summary, '')
-        FROM fact_document)"""),
+               coalesce(regexp_replace(content, '{_SPACE}', ' ', 'g'), content_summary, '')
+        FROM fact_document)""".replace("{_SPACE}", _SPACE)),
     "quality_metrics": star("""
         SELECT 'raw_counts' AS section, name, n::varchar AS value FROM (
             SELECT 'communications' AS name, count(*) AS n FROM communications
@@ -487,7 +490,7 @@ ORACLES: dict[str, str] = {
                 (SELECT count(*) FROM fact_order WHERE has_linked_email OR has_credit_memo
                     OR has_quality_report OR will_be_delayed)
                 + (SELECT count(*) FROM dim_customer) + (SELECT count(*) FROM fact_document)
-                + (SELECT least(count(*), 25000) FROM fact_email
+                + (SELECT count(*) FROM fact_email
                    WHERE is_complaint_like OR linked_order_id IS NOT NULL))
         UNION ALL
         SELECT 'checks', name, value FROM (
@@ -536,7 +539,8 @@ ORACLES: dict[str, str] = {
                                         / previous_orders * 100) || '%' END AS change
         FROM months"""),
     "headline_kpis": star("""
-        SELECT count(*) AS orders, count(DISTINCT customer_id_clean) AS customers,
+        SELECT count(*) AS orders,
+               (SELECT count(*) FROM dim_customer WHERE customer_id_clean IS NOT NULL) AS customers,
                round(avg(will_be_delayed::int), 6) AS delayed_rate,
                round(avg(will_generate_complaint::int), 6) AS complaint_rate
         FROM fact_order"""),
@@ -557,22 +561,22 @@ ORACLES: dict[str, str] = {
                round(invoice_total, 4) AS invoice_total, round(credit_total, 4) AS credit_total
         FROM dim_customer {_BY_ISSUE} LIMIT 25"""),
     "overview_risk": star(f"""
-        SELECT order_id, customer_id_clean, linked_email_count, max_delivery_lag_days,
+        SELECT f.order_id, f.customer_id_clean, linked_email_count, max_delivery_lag_days,
                round({_MEAN_ALL}, 6) AS composite_risk
-        FROM fact_order LEFT JOIN scores USING (order_id, customer_id_clean, order_created_at)
-        ORDER BY {_MEAN_ALL} DESC, order_id LIMIT 1000"""),
+        FROM fact_order f LEFT JOIN scores s ON {_SAME_ORDER}
+        ORDER BY {_MEAN_ALL} DESC, f.order_id LIMIT 1000"""),
     "risk_landscape": star(f"""
-        SELECT order_id, customer_id_clean, linked_email_count, document_count,
+        SELECT f.order_id, f.customer_id_clean, linked_email_count, document_count,
                greatest(max_delivery_lag_days, 0) AS lag_size,
                round({_MEAN_ALL}, 6) AS composite_risk
-        FROM fact_order JOIN scores USING (order_id, customer_id_clean, order_created_at)
-        ORDER BY {_MEAN_ALL} DESC, order_id LIMIT 2000"""),
+        FROM fact_order f JOIN scores s ON {_SAME_ORDER}
+        ORDER BY {_MEAN_ALL} DESC, f.order_id LIMIT 2000"""),
     "top_risk_orders": star(f"""
-        SELECT order_id, customer_id_clean, linked_email_count, document_count,
+        SELECT f.order_id, f.customer_id_clean, linked_email_count, document_count,
                max_delivery_lag_days, {', '.join(f'round({c}, 6) AS {c}' for c in _RISK)},
                round({_MEAN_ALL}, 6) AS composite_risk
-        FROM fact_order JOIN scores USING (order_id, customer_id_clean, order_created_at)
-        ORDER BY {_MEAN_ALL} DESC, order_id LIMIT 100"""),
+        FROM fact_order f JOIN scores s ON {_SAME_ORDER}
+        ORDER BY {_MEAN_ALL} DESC, f.order_id LIMIT 100"""),
     "customer_options": star("""
         SELECT customer_id_clean, customer_label || ' (' || customer_id_clean || ')' AS label
         FROM dim_customer WHERE customer_id_clean IS NOT NULL"""),
@@ -601,7 +605,7 @@ ORACLES: dict[str, str] = {
         "SELECT customer_id_clean, message_scope, count(*) AS emails FROM fact_email GROUP BY ALL"
     ),
     "order_options": star("""
-        SELECT order_id, order_id || ' | customer ' || customer_id_clean || ' | docs '
+        SELECT order_id, order_id || ' | customer ' || coalesce(customer_id_clean, '<NA>') || ' | docs '
                || document_count || ' | emails ' || linked_email_count AS label
         FROM fact_order WHERE document_count > 0 OR linked_email_count > 0"""),
     "order_kpis": star(f"""
@@ -623,18 +627,14 @@ ORACLES: dict[str, str] = {
         FROM fact_email WHERE linked_order_id IS NOT NULL"""),
     "customer_filter_options": star("""
         SELECT customer_id_clean AS option FROM dim_customer
-        WHERE customer_id_clean IS NOT NULL ORDER BY 1 LIMIT 5000"""),
-    "order_filter_options": star("SELECT order_id AS option FROM fact_order ORDER BY 1 LIMIT 5000"),
+        WHERE customer_id_clean IS NOT NULL"""),
+    "order_filter_options": star("SELECT order_id AS option FROM fact_order"),
     "duplicate_emails": star(f"""
         SELECT source_message_id, {_at('timestamp')} AS timestamp, from_email, to_email, subject
-        FROM fact_email WHERE is_duplicate_source_id
-        ORDER BY source_message_id NULLS LAST, fact_email.timestamp, from_email, to_email,
-                 subject NULLS FIRST LIMIT 100"""),
+        FROM fact_email WHERE is_duplicate_source_id"""),
     "duplicate_documents": star("""
         SELECT source_document_id, document_type, order_id, customer_id_clean
-        FROM fact_document WHERE is_duplicate_source_id
-        ORDER BY source_document_id NULLS LAST, document_type, order_id, customer_id_clean
-        LIMIT 100"""),
+        FROM fact_document WHERE is_duplicate_source_id"""),
     "date_coverage": star(f"""
         SELECT 'emails' AS dataset, {_at('min(timestamp)')} AS start,
                {_at('max(timestamp)')} AS end FROM fact_email
@@ -642,7 +642,8 @@ ORACLES: dict[str, str] = {
         SELECT 'documents', {_at('min(event_timestamp)')}, {_at('max(event_timestamp)')}
         FROM fact_document"""),
     "kpi_measures": star(f"""
-        SELECT count(*) AS total_orders, count(DISTINCT customer_id_clean) AS unique_customers,
+        SELECT count(*) AS total_orders,
+               count(DISTINCT coalesce(customer_id_clean, '')) AS unique_customers,
                round({_SHARE.format('will_be_delayed')}, 6) AS delay_rate,
                round({_SHARE.format('will_generate_complaint')}, 6) AS complaint_rate,
                round({_SHARE.format('will_generate_credit_memo')}, 6) AS credit_memo_rate
@@ -764,7 +765,7 @@ CTES.update(
         "vocabulary": """
         SELECT term, sum(tf)::bigint AS total, count(*) AS document_frequency,
                ln((1 + (SELECT count(*) FROM corpus)) / (1 + count(*))) + 1 AS idf
-        FROM doc_terms GROUP BY term ORDER BY total DESC, term LIMIT 30000""",
+        FROM doc_terms GROUP BY term""",
         "doc_vectors": """
         SELECT doc_id, term,
                tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc_id)) AS weight

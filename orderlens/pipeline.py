@@ -7,7 +7,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .constants import COMPLAINT_KEYWORDS, EMAIL_CORPUS_CAP, PROCESSED_TABLES, SPAM_KEYWORDS
+from .constants import COMPLAINT_KEYWORDS, PROCESSED_TABLES, SPAM_KEYWORDS
 from .plans.corpus import retrieval_corpus
 from .plans.customers import customer_dim
 from .plans.documents import document_fact
@@ -27,7 +27,7 @@ def build_tables(
     internal_domain: str,
     spam_keywords: Sequence[str] = SPAM_KEYWORDS,
     complaint_keywords: Sequence[str] = COMPLAINT_KEYWORDS,
-    email_cap: int | None = EMAIL_CORPUS_CAP,
+    email_cap: int | None = None,
 ) -> dict[str, DataFrame]:
     """Write all processed tables; each later table reads the earlier ones as written."""
     mails = store.write(

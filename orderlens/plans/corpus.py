@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import EMAIL_CORPUS_CAP
 from ..functions import numbers, text, time
 
 COLUMNS = [
@@ -19,8 +18,10 @@ def retrieval_corpus(
     customer_dim: DataFrame,
     fact_email: DataFrame,
     fact_document: DataFrame,
-    email_cap: int | None = EMAIL_CORPUS_CAP,
+    email_cap: int | None = None,
 ) -> DataFrame:
+    """Whole texts of mails and business documents; with email_cap only the most
+    relevant mails."""
     parts = [
         _orders(order_fact),
         _customers(customer_dim),
@@ -100,7 +101,7 @@ def _customers(customer_dim: DataFrame) -> DataFrame:
 
 
 def most_relevant_mails(fact_email: DataFrame, cap: int | None) -> DataFrame:
-    """Complaints and mails that name an order: complaints first, oldest first, capped.
+    """Complaints and mails that name an order: complaints first, oldest first, up to a cap.
 
     Mails are counted per flag and day first. Only the days needed to fill the cap
     are sorted; each of these days holds at least one mail, so the list of days
@@ -141,7 +142,7 @@ def _mails(mails: DataFrame) -> DataFrame:
     body = F.concat(
         F.lit("From "), sender, F.lit(" to "), receiver,
         F.lit(". "), text.or_empty(F.col("subject")),
-        F.lit(". "), text.or_empty(F.col("body_preview")),
+        F.lit(". "), text.collapsed(text.or_empty(F.col("body"))),
     )
     return mails.select(
         F.concat(F.lit("email:"), "canonical_message_id").alias("doc_id"),
@@ -170,5 +171,5 @@ def _documents(fact_document: DataFrame) -> DataFrame:
         F.coalesce(kind, F.lit("document")).alias("document_type"),
         "event_date",
         title.alias("title"),
-        text.or_empty(F.col("content_summary")).alias("text"),
+        F.coalesce(text.collapsed(F.col("content")), "content_summary", F.lit("")).alias("text"),
     )

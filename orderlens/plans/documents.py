@@ -6,17 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import EVENT_TIME_BY_TYPE, PREVIEW_LENGTH
-from ..functions import ids, text, time
+from ..functions import ids, numbers, text, time
 from ..operators.hotkeys import flag_repeats
 from ..sources.schemas import OPTIONAL, TIME, column_type, conform
 
 
-def document_fact(supporting_documents: DataFrame, business_documents: DataFrame) -> DataFrame:
+def document_rows(supporting_documents: DataFrame, business_documents: DataFrame) -> DataFrame:
+    """The fact without the duplicate flag, which no other table needs."""
     supporting = _supporting(supporting_documents)
     business = _business(business_documents)
     return supporting.unionByName(business, allowMissingColumns=True)
 
 
+def document_fact(supporting_documents: DataFrame, business_documents: DataFrame) -> DataFrame:
+    supporting = _flagged(_supporting(supporting_documents), supporting_documents)
+    business = _flagged(_business(business_documents), business_documents)
+    return supporting.unionByName(business, allowMissingColumns=True)
+
+
+def _flagged(rows: DataFrame, raw: DataFrame) -> DataFrame:
+    keys = raw.select(ids.clean_id(F.col("document_id")).alias("source_document_id"))
+    return flag_repeats(rows, keys, "source_document_id", "is_duplicate_source_id")
+
+
 def _supporting(raw: DataFrame) -> DataFrame:
     docs = conform(raw, "supporting_documents")
     dates = [name for name, kind in OPTIONAL["supporting_documents"].items() if kind == TIME]
@@ -28,8 +40,8 @@ def _supporting(raw: DataFrame) -> DataFrame:
         *[F.when(kind == name, F.col(at)) for name, at in EVENT_TIME_BY_TYPE.items()],
         F.col("order_date"),
     )
-    money = lambda name: F.coalesce(F.col(name).cast("double"), F.lit(0.0))
-    docs = docs.withColumns(
+    money = lambda name: F.coalesce(numbers.known(F.col(name)), F.lit(0.0))
+    return docs.withColumns(
         {
             "order_id": ids.clean_id(F.col("order_number")),
             "customer_id_clean": ids.clean_id(F.col("customer_id")),
@@ -52,13 +64,12 @@ def _supporting(raw: DataFrame) -> DataFrame:
         "content_summary",
         text.document_summary(kind, F.col("order_id"), F.col("customer_name")),
     )
-    return flag_repeats(docs, "source_document_id", "is_duplicate_source_id")
 
 
 def _business(raw: DataFrame) -> DataFrame:
     docs = conform(raw, "business_documents")
     created = time.parse_instant(F.col("created_date"), column_type(docs, "created_date"))
-    docs = docs.withColumn("created_date", created).withColumns(
+    return docs.withColumn("created_date", created).withColumns(
         {
             "order_id": F.lit(None).cast("string"),
             "customer_id_clean": F.lit(None).cast("string"),
@@ -79,4 +90,3 @@ def _business(raw: DataFrame) -> DataFrame:
             "content_summary": text.preview(F.col("content").cast("string"), PREVIEW_LENGTH),
         }
     )
-    return flag_repeats(docs, "source_document_id", "is_duplicate_source_id")

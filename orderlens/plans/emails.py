@@ -13,19 +13,20 @@ from ..operators.hotkeys import flag_repeats
 from ..sources.schemas import column_type, conform
 
 
-def email_fact(
+def email_rows(
     communications: DataFrame,
     internal_domain: str,
     spam_keywords: Sequence[str] = SPAM_KEYWORDS,
     complaint_keywords: Sequence[str] = COMPLAINT_KEYWORDS,
 ) -> DataFrame:
+    """The fact without the duplicate flag, which no other table needs."""
     mails = conform(communications, "communications").withColumnsRenamed(
         {"from": "from_email", "to": "to_email", "cc": "cc_recipients"}
     )
     sent_at = time.parse_instant(F.col("timestamp"), column_type(mails, "timestamp"))
     searchable = text.joined_text(*map(F.col, ["subject", "body", "vendor", "from_company"]))
     mails = mails.withColumns({"timestamp": sent_at, "_searchable": F.lower(searchable)})
-    mails = mails.withColumns(
+    return mails.withColumns(
         {
             "source_message_id": ids.clean_id(F.col("message_id")),
             "customer_id_clean": ids.clean_id(F.col("customer_id")),
@@ -47,4 +48,14 @@ def email_fact(
             "body_preview": text.preview(text.or_empty(F.col("body")), PREVIEW_LENGTH),
         }
     ).drop("_searchable")
-    return flag_repeats(mails, "source_message_id", "is_duplicate_source_id")
+
+
+def email_fact(
+    communications: DataFrame,
+    internal_domain: str,
+    spam_keywords: Sequence[str] = SPAM_KEYWORDS,
+    complaint_keywords: Sequence[str] = COMPLAINT_KEYWORDS,
+) -> DataFrame:
+    rows = email_rows(communications, internal_domain, spam_keywords, complaint_keywords)
+    keys = communications.select(ids.clean_id(F.col("message_id")).alias("source_message_id"))
+    return flag_repeats(rows, keys, "source_message_id", "is_duplicate_source_id")

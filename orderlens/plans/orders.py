@@ -25,8 +25,9 @@ def order_lines(erp_transactions: DataFrame) -> DataFrame:
     )
 
 
-def order_heads(lines: DataFrame) -> DataFrame:
-    """Creation time, customer, plant and product of each order's earliest line.
+def order_totals(lines: DataFrame) -> DataFrame:
+    """Per order, in one aggregation: creation time, customer, plant and product of its
+    earliest line, and the distinct items, products, plants and shipping points.
 
     Lines without a time come last; equal times follow item, product and plant.
     The smallest struct is found with map-side partial minima.
@@ -39,39 +40,27 @@ def order_heads(lines: DataFrame) -> DataFrame:
     )
     return (
         lines.groupBy("order_key")
-        .agg(head.alias("head"))
+        .agg(
+            head.alias("head"),
+            F.count_distinct("item").alias("order_line_count"),
+            F.count_distinct("product").alias("product_nunique"),
+            F.count_distinct("plant").alias("plant_nunique"),
+            F.count_distinct("shipping_point").alias("shipping_point_nunique"),
+        )
         .select(
-            "order_key",
-            "head.order_created_at",
-            "head.customer_id_clean",
+            "order_key", "head.order_created_at", "order_line_count", "product_nunique",
+            "plant_nunique", "shipping_point_nunique", "head.customer_id_clean",
             F.col("head.plant").alias("primary_plant"),
             F.col("head.product").alias("primary_product"),
         )
     )
 
 
-def order_breadth(lines: DataFrame) -> DataFrame:
-    """Distinct items, products, plants and shipping points per order."""
-    return lines.groupBy("order_key").agg(
-        F.count_distinct("item").alias("order_line_count"),
-        F.count_distinct("product").alias("product_nunique"),
-        F.count_distinct("plant").alias("plant_nunique"),
-        F.count_distinct("shipping_point").alias("shipping_point_nunique"),
-    )
-
-
 def order_rollup(erp_transactions: DataFrame) -> DataFrame:
     """One row per order from its lines; lines without an order id form one order."""
-    lines = order_lines(erp_transactions)
-    return (
-        order_heads(lines)
-        .join(order_breadth(lines), "order_key")
-        .select(
-            ids.unjoinable(F.col("order_key")).alias("order_id"),
-            "order_created_at", "order_line_count", "product_nunique", "plant_nunique",
-            "shipping_point_nunique", "customer_id_clean", "primary_plant", "primary_product",
-        )
-    )
+    totals = order_totals(order_lines(erp_transactions))
+    order_id = ids.unjoinable(F.col("order_key")).alias("order_id")
+    return totals.select(order_id, *[c for c in totals.columns if c != "order_key"])
 
 
 def document_totals(fact_document: DataFrame) -> DataFrame:
@@ -148,24 +137,21 @@ def order_fact(
 
     Every side is aggregated to one row per order key before it is joined.
     """
-    lines = order_lines(erp_transactions)
-    heads = order_heads(lines)
+    orders = order_totals(order_lines(erp_transactions))
     complaints = complaints_by_order(
-        heads.withColumn("order_id", ids.unjoinable(F.col("order_key"))),
+        orders.withColumn("order_id", ids.unjoinable(F.col("order_key"))),
         fact_email,
         tolerance_days,
     ).withColumnRenamed("order_id", "order_key")
-    joined = (
-        heads.join(order_breadth(lines), "order_key")
-        .join(document_totals(fact_document), "order_key", "left")
-        .join(linked_email_totals(fact_email), "order_key", "left")
-        .join(complaints, "order_key", "left")
-    )
+    sides = [document_totals(fact_document), linked_email_totals(fact_email), complaints]
+    joined = orders
+    for side in sides:
+        joined = joined.join(side, "order_key", "left")
     counts = [
-        "document_count", "shipping_notice_count", "invoice_count", "quality_report_count",
-        "credit_memo_count", "delayed_shipments", "max_delivery_lag_days",
-        "linked_email_count", "spam_email_count", "complaint_email_count",
-        "revenue_total", "cost_total", "refund_total",
+        name
+        for side in sides
+        for name, kind in side.dtypes
+        if name != "order_key" and kind != "timestamp"
     ]
     latest_touch = F.greatest("latest_document_at", "latest_email_at")
     return (

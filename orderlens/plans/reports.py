@@ -23,10 +23,12 @@ def _month(at: str = "order_created_at") -> Column:
 # --- Executive overview -----------------------------------------------------
 
 
-def headline_kpis(orders: DataFrame) -> DataFrame:
+def headline_kpis(orders: DataFrame, customers: DataFrame) -> DataFrame:
+    """Customers are those of the customer dimension, with or without orders."""
+    known = customers.agg(F.count("customer_id_clean")).scalar()
     return orders.agg(
         F.count(F.lit(1)).alias("orders"),
-        F.count_distinct("customer_id_clean").alias("customers"),
+        F.max(known).alias("customers"),
         F.avg(F.col("will_be_delayed").cast("int")).alias("delayed_rate"),
         F.avg(F.col("will_generate_complaint").cast("int")).alias("complaint_rate"),
     )
@@ -91,9 +93,19 @@ def top_issue_customers(customers: DataFrame, n: int = 25) -> DataFrame:
 # --- Composite risk ---------------------------------------------------------
 
 
+def with_scores(orders: DataFrame, scores: DataFrame, how: str) -> DataFrame:
+    """Orders with their scores by the three score keys; a null key meets a null key."""
+    named = scores.select(
+        *[F.col(k).alias(f"_{k}") for k in SCORE_KEYS],
+        *[c for c in scores.columns if c not in SCORE_KEYS],
+    )
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in SCORE_KEYS])
+    return orders.join(named, same, how).drop(*[f"_{k}" for k in SCORE_KEYS])
+
+
 def overview_risk(orders: DataFrame, scores: DataFrame, n: int = 1000) -> DataFrame:
     """Orders by composite risk; an order without scores counts as zero risk."""
-    joined = orders.join(scores, SCORE_KEYS, "left")
+    joined = with_scores(orders, scores, "left")
     total = reduce(Column.__add__, [F.coalesce(c, F.lit(0.0)) for c in SCORE_COLUMNS])
     return _riskiest(joined.withColumn("composite_risk", total / len(SCORE_COLUMNS)), n).select(
         "order_id", "customer_id_clean", "linked_email_count", "max_delivery_lag_days",
@@ -103,7 +115,7 @@ def overview_risk(orders: DataFrame, scores: DataFrame, n: int = 1000) -> DataFr
 
 def scored_risk(orders: DataFrame, scores: DataFrame) -> DataFrame:
     """Scored orders with the mean of the scores they have and a marker size."""
-    joined = orders.join(scores, SCORE_KEYS)
+    joined = with_scores(orders, scores, "inner")
     total = reduce(Column.__add__, [F.coalesce(c, F.lit(0.0)) for c in SCORE_COLUMNS])
     known = reduce(Column.__add__, [F.col(c).isNotNull().cast("int") for c in SCORE_COLUMNS])
     return joined.withColumns(
@@ -243,33 +255,33 @@ def linked_emails(emails: DataFrame) -> DataFrame:
 # --- Assistant and data quality pages ---------------------------------------
 
 
-def filter_options(df: DataFrame, column: str, n: int = 5000) -> DataFrame:
-    """The first n ids in text order, for a selection list."""
+def _first(df: DataFrame, n: int | None, *order: Column | str) -> DataFrame:
+    """All rows, or with n the first n in this order."""
+    return df if n is None else df.orderBy(*order).limit(n)
+
+
+def filter_options(df: DataFrame, column: str, n: int | None = None) -> DataFrame:
+    """The ids of a selection list; with n the first n in text order."""
     ids = df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("option"))
-    return ids.orderBy("option").limit(n)
+    return _first(ids, n, "option")
 
 
-def duplicate_emails(emails: DataFrame, n: int = 100) -> DataFrame:
-    return (
+def duplicate_emails(emails: DataFrame, n: int | None = None) -> DataFrame:
+    return _first(
         emails.where("is_duplicate_source_id")
-        .select("source_message_id", "timestamp", "from_email", "to_email", "subject")
-        .orderBy(
-            F.asc_nulls_last("source_message_id"), F.asc_nulls_last("timestamp"),
-            "from_email", "to_email", "subject",
-        )
-        .limit(n)
+        .select("source_message_id", "timestamp", "from_email", "to_email", "subject"),
+        n,
+        F.asc_nulls_last("source_message_id"), F.asc_nulls_last("timestamp"),
+        "from_email", "to_email", "subject",
     )
 
 
-def duplicate_documents(documents: DataFrame, n: int = 100) -> DataFrame:
-    return (
+def duplicate_documents(documents: DataFrame, n: int | None = None) -> DataFrame:
+    return _first(
         documents.where("is_duplicate_source_id")
-        .select("source_document_id", "document_type", "order_id", "customer_id_clean")
-        .orderBy(
-            F.asc_nulls_last("source_document_id"), "document_type", "order_id",
-            "customer_id_clean",
-        )
-        .limit(n)
+        .select("source_document_id", "document_type", "order_id", "customer_id_clean"),
+        n,
+        F.asc_nulls_last("source_document_id"), "document_type", "order_id", "customer_id_clean",
     )
 
 

@@ -11,10 +11,9 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import VOCABULARY_SIZE
 from ..plans.corpus import COLUMNS
 from ..sources.store import path_exists
 
@@ -26,9 +25,9 @@ class Index:
     """row_key identifies a distinct corpus row and sorts like its doc_id."""
 
     docs: DataFrame  # row_key, copies and the corpus columns
-    vocabulary: DataFrame  # term, term_id, total, document_frequency, idf
-    vectors: DataFrame  # row_key, term_ids, weights
-    postings: DataFrame  # term_id, row_key, weight
+    vocabulary: DataFrame  # term, total, document_frequency, idf
+    vectors: DataFrame  # row_key, terms, weights
+    postings: DataFrame  # term, row_key, weight
 
 
 def default_stop_words() -> list[str]:
@@ -53,16 +52,10 @@ def with_pairs(tokens: Column) -> Column:
 def term_counts(df: DataFrame, keep: Sequence[str], stop_words: Sequence[str]) -> DataFrame:
     """keep, term, tf: one row per distinct term of each text.
 
-    The texts are spread by the first column of keep (a unique key) before they
-    are split into terms, so counting terms, and whatever groups by that key
-    afterwards, needs no further shuffle. The given number of partitions also
-    spreads a single small file.
+    Terms are counted where their text is; only the counts are shuffled.
     """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        df.select(*keep, "text")
-        .repartition(partitions, keep[0])
-        .select(*keep, terms_of(F.col("text"), stop_words).alias("_tokens"))
+        df.select(*keep, terms_of(F.col("text"), stop_words).alias("_tokens"))
         .select(*keep, F.explode(with_pairs(F.col("_tokens"))).alias("term"))
         .groupBy(*keep, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
@@ -83,45 +76,33 @@ def distinct_rows(corpus: DataFrame) -> DataFrame:
     )
 
 
-def vocabulary_of(
-    docs: DataFrame, stop_words: Sequence[str], size: int = VOCABULARY_SIZE
-) -> DataFrame:
-    """The size most frequent terms (equal totals in term order) with their idf."""
-    totals = (
-        term_counts(docs, ["row_key", "copies"], stop_words)
-        .groupBy("term")
-        .agg(
-            F.sum(F.col("tf") * F.col("copies")).alias("total"),
-            F.sum("copies").alias("document_frequency"),
-        )
+def vocabulary_of(docs: DataFrame, counts: DataFrame, size: int | None = None) -> DataFrame:
+    """The terms with their idf; with size the most frequent ones, equal totals in term
+    order. counts has row_key, copies, term and tf."""
+    totals = counts.groupBy("term").agg(
+        F.sum(F.col("tf") * F.col("copies")).alias("total"),
+        F.sum("copies").alias("document_frequency"),
     )
     n_docs = docs.agg(F.coalesce(F.sum("copies"), F.lit(0))).scalar()
-    top = totals.orderBy(F.desc("total"), "term").limit(size)
-    # At most `size` rows are numbered here.
-    number = F.row_number().over(Window.orderBy(F.desc("total"), "term"))
-    idf = F.log((n_docs + 1) / (F.col("document_frequency") + 1)) + 1
-    return top.withColumns({"term_id": number, "idf": idf})
+    if size is not None:
+        totals = totals.orderBy(F.desc("total"), "term").limit(size)
+    return totals.withColumn("idf", F.log((n_docs + 1) / (F.col("document_frequency") + 1)) + 1)
 
 
-def vectors_of(docs: DataFrame, vocabulary: DataFrame, stop_words: Sequence[str]) -> DataFrame:
-    """L2-normed weights of each document: one shuffle, on the document.
-
-    The vocabulary has a fixed largest size, so it is broadcast; a vector is no
-    longer than the vocabulary.
-    """
-    known = F.broadcast(vocabulary.select("term", "term_id", "idf"))
+def vectors_of(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """L2-normed weights of each document; a vector is no longer than its text."""
     weight = F.col("tf") * F.col("idf")
     return (
-        term_counts(docs, ["row_key"], stop_words)
-        .join(known, "term")
+        counts.select("row_key", "term", "tf")
+        .join(vocabulary.select("term", "idf"), "term")
         .groupBy("row_key")
         .agg(
-            F.sort_array(F.collect_list(F.struct("term_id", weight.alias("weight")))).alias("e"),
+            F.sort_array(F.collect_list(F.struct("term", weight.alias("weight")))).alias("e"),
             F.sqrt(F.sum(weight * weight)).alias("norm"),
         )
         .select(
             "row_key",
-            F.col("e.term_id").alias("term_ids"),
+            F.col("e.term").alias("terms"),
             F.transform("e.weight", lambda w: w / F.col("norm")).alias("weights"),
         )
     )
@@ -129,20 +110,20 @@ def vectors_of(docs: DataFrame, vocabulary: DataFrame, stop_words: Sequence[str]
 
 def postings_of(vectors: DataFrame) -> DataFrame:
     return vectors.select(
-        "row_key", F.inline(F.arrays_zip(F.col("term_ids"), F.col("weights")))
-    ).select(F.col("term_ids").alias("term_id"), "row_key", F.col("weights").alias("weight"))
+        "row_key", F.inline(F.arrays_zip(F.col("terms"), F.col("weights")))
+    ).select(F.col("terms").alias("term"), "row_key", F.col("weights").alias("weight"))
 
 
 def build_index(
     corpus: DataFrame,
     path: str,
     stop_words: Sequence[str] | None = None,
-    size: int = VOCABULARY_SIZE,
+    size: int | None = None,
 ) -> Index:
-    """Write the four tables below path and return them as read back.
+    """Write the tables below path and return them as read back.
 
-    Postings are range-partitioned and sorted by term, so a search reads only the
-    row groups of its terms.
+    Texts are shuffled once, to find identical rows, and split into terms once; the
+    vocabulary, the vectors and, from them, the postings derive from these counts.
     """
     words = default_stop_words() if stop_words is None else list(stop_words)
     spark = corpus.sparkSession
@@ -152,13 +133,14 @@ def build_index(
         return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
     docs = table("docs", distinct_rows(corpus))
-    vocabulary = table("vocabulary", vocabulary_of(docs, words, size))
-    vectors = table("vectors", vectors_of(docs, vocabulary, words))
+    counts = table("terms", term_counts(docs, ["row_key", "copies"], words))
+    vocabulary = table("vocabulary", vocabulary_of(docs, counts, size))
+    vectors = table("vectors", vectors_of(counts, vocabulary))
     postings = table(
         "postings",
         postings_of(vectors)
-        .repartitionByRange("term_id", "row_key")
-        .sortWithinPartitions("term_id", "row_key"),
+        .repartitionByRange("term", "row_key")
+        .sortWithinPartitions("term", "row_key"),
     )
     return Index(docs, vocabulary, vectors, postings)
 
@@ -179,7 +161,7 @@ def reuse_or_build(
     corpus: DataFrame,
     root: str,
     stop_words: Sequence[str] | None = None,
-    size: int = VOCABULARY_SIZE,
+    size: int | None = None,
 ) -> Index:
     """The index kept for this corpus, built when the corpus has changed."""
     spark = corpus.sparkSession

@@ -9,7 +9,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..constants import CANDIDATES_PER_RESULT, MMR_LAMBDA, TOP_K
 from ..functions.ids import order_reference_in
@@ -19,12 +18,6 @@ from .index import Index, default_stop_words, term_counts
 # Scores are compared at this precision, so that copies of a text tie whatever
 # order their products were added in.
 DIGITS = 9
-BROADCAST_ROWS = 500_000
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a narrow frame after counting it; a larger one is left to a shuffle join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def apply_filters(docs: DataFrame, filters: Mapping[str, Any] | None) -> DataFrame:
@@ -37,22 +30,22 @@ def apply_filters(docs: DataFrame, filters: Mapping[str, Any] | None) -> DataFra
 
 
 def query_weights(queries: DataFrame, index: Index, stop_words: Sequence[str]) -> DataFrame:
-    """query_id, term_id, weight: the L2-normed vector of each question."""
+    """query_id, term, query_weight: the L2-normed vector of each question."""
     texts = queries.select("query_id", F.col("query").alias("text"))
-    known = F.broadcast(index.vocabulary.select("term", "term_id", "idf"))
+    known = index.vocabulary.select("term", "idf")
     raw = term_counts(texts, ["query_id"], stop_words).join(known, "term")
-    weighted = raw.select("query_id", "term_id", (F.col("tf") * F.col("idf")).alias("w"))
+    weighted = raw.select("query_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norms = weighted.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return weighted.join(norms, "query_id").select(
-        "query_id", "term_id", (F.col("w") / F.col("norm")).alias("query_weight")
+        "query_id", "term", (F.col("w") / F.col("norm")).alias("query_weight")
     )
 
 
 def match_scores(queries: DataFrame, index: Index, stop_words: Sequence[str]) -> DataFrame:
     """query_id, row_key, score: cosine of every question and document sharing a term."""
-    asked = broadcast_if_small(written(query_weights(queries, index, stop_words), "questions"))
+    asked = written(query_weights(queries, index, stop_words), "questions")
     return (
-        index.postings.join(asked, "term_id")
+        index.postings.join(asked, "term")
         .groupBy("query_id", "row_key")
         .agg(F.round(F.sum(F.col("weight") * F.col("query_weight")), DIGITS).alias("score"))
     )
@@ -116,7 +109,7 @@ def candidates(
     top = written(top, "candidates")
     by_copy = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_key", "copy")
     return (
-        docs.join(broadcast_if_small(top), "row_key")
+        docs.join(top, "row_key")
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(pool)))))
         .withColumn("position", F.row_number().over(by_copy))
         .where(F.col("position") <= pool)
@@ -147,25 +140,28 @@ def pick_diverse(
 
 
 def diversified(ranked: DataFrame, index: Index, k: int, lam: float = MMR_LAMBDA) -> DataFrame:
-    """Adds pick (1..k) to the chosen candidates; each question is one small group."""
-    keys = broadcast_if_small(ranked.select("row_key").distinct())
-    vectors = index.vectors.join(keys, "row_key", "left_semi")
-    rows = ranked.join(vectors, "row_key", "left")
-    columns = ranked.columns
-    schema = StructType([*ranked.schema.fields, StructField("pick", IntegerType())])
+    """Adds pick (1..k) to the chosen candidates; each question is one small group.
+
+    Only positions, scores and vectors go to Python; the picks meet their rows again.
+    """
+    ranked = written(ranked, "ranked")
+    narrow = ranked.select("query_id", "row_key", "position", "score")
+    rows = narrow.join(index.vectors, "row_key", "left").drop("row_key")
+    kind = narrow.schema["query_id"].dataType.simpleString()
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("position")
         vectors = [
-            (np.asarray([] if t is None else t, int), np.asarray([] if w is None else w, float))
-            for t, w in zip(group["term_ids"], group["weights"])
+            (np.asarray([] if t is None else t, str), np.asarray([] if w is None else w, float))
+            for t, w in zip(group["terms"], group["weights"])
         ]
         picked = pick_diverse(group["score"].to_numpy(), vectors, k, lam)
-        chosen = group.iloc[picked][columns].copy()
+        chosen = group.iloc[picked][["query_id", "position"]].copy()
         chosen["pick"] = range(1, len(picked) + 1)
         return chosen
 
-    return rows.groupBy("query_id").applyInPandas(choose, schema)
+    picks = rows.groupBy("query_id").applyInPandas(choose, f"query_id {kind}, position int, pick int")
+    return ranked.join(picks, ["query_id", "position"])
 
 
 def one_per_entity(picked: DataFrame) -> DataFrame:

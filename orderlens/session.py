@@ -37,7 +37,7 @@ def local_session(app: str = "orderlens", cores: str = "*", **settings: str) ->
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", settings.pop("shuffle_partitions", "8"))
-        .config("spark.driver.memory", settings.pop("driver_memory", "16g"))
+        .config("spark.driver.memory", settings.pop("driver_memory", "8g"))
     )
     for key, value in {**RUNTIME_SETTINGS, **settings}.items():
         builder = builder.config(key, value)
@@ -45,17 +45,17 @@ def local_session(app: str = "orderlens", cores: str = "*", **settings: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by spark.checkpoint.dir.
-
-    Only a local session may fall back to a folder of its own.
+    """The folder every executor can reach: spark.checkpoint.dir, or the context's own
+    checkpoint folder. Only local[...] sessions, as in tests, may make one themselves.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = named or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not context.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = context.getCheckpointDir() or tempfile.mkdtemp(prefix="orderlens-")
+    own = tempfile.mkdtemp(prefix="orderlens-")
     spark.conf.set("spark.checkpoint.dir", own)
     return own.rstrip("/")
 

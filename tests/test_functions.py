@@ -119,3 +119,15 @@ def test_change_text(spark):
     df = spark.createDataFrame([(110, 100), (50, 0), (90, 100)], "c long, b long")
     got = [r[0] for r in df.select(numbers.change_text(F.col("c"), F.col("b"))).collect()]
     assert got == ["10.0%", "n/a", "-10.0%"]
+
+
+def test_fixed_takes_any_double(spark):
+    from orderlens.functions import numbers
+
+    values = [float("nan"), float("inf"), 1e19, -1e19, -2.5, 0.125, -0.001, None, 123456789.005]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = [r[0] for r in df.orderBy("i").select(numbers.fixed(F.col("v"), 2)).collect()]
+    want = [None, None, "10000000000000000000.00", "-10000000000000000000.00", "-2.50", "0.12", "0.00", None]
+    assert got[:8] == want and got[8] == f"{123456789.005:.2f}"
+    known = [r[0] for r in df.orderBy("i").select(numbers.known(F.col("v"))).collect()]
+    assert known[0] is None and known[4] == -2.5

@@ -107,12 +107,12 @@ def test_quantile_and_rank(spark):
 def test_flag_repeats_with_a_hot_null_key(spark):
     keys = [None] * 300 + ["x"] * 200 + [f"k{i}" for i in range(300)] + ["k1", "k2"]
     df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i int, k string")
-    got = flag_repeats(df, "k", "again").collect()
+    got = flag_repeats(df, df.select("k"), "k", "again").collect()
     assert len(got) == len(keys)
     repeated = {k for k in keys if keys.count(k) > 1}
     assert all(r["again"] == (r["k"] in repeated) for r in got)
-    plan = flag_repeats(df, "k", "again")._jdf.queryExecution().executedPlan().toString()
-    assert "Window" not in plan
+    plan = flag_repeats(df, df.select("k"), "k", "again")._jdf.queryExecution().executedPlan()
+    assert "Window" not in plan.toString()
 
 
 def test_curves_against_brute_force(spark):
