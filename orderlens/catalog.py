@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bindings as b
@@ -248,7 +248,36 @@ def table_profile(spark, sf):
 
 
 def relationship_check(spark, sf):
-    return measures.relationship_check(built(spark, sf))
+    tables = built(spark, sf) | {"order_risk_scores": b.order_scores(spark, sf)}
+    return measures.relationship_check(tables)
+
+
+def text_timestamps(spark, sf):
+    """Order dates that arrive as text, some of them no dates."""
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    kind = F.col("o_orderkey") % 5
+    given = (
+        F.when(kind == 0, day)
+        .when(kind == 1, F.concat(day, F.lit(" 07:08:09")))
+        .when(kind == 2, F.concat(day, F.lit("T07:08:09.5")))
+        .when(kind == 3, F.concat(F.lit("about "), day))
+    )
+    return presented(
+        b.table(spark, sf, "orders").select(
+            "o_orderkey", time.parse_instant(given, "string").alias("parsed")
+        )
+    )
+
+
+def _timeline(key: str) -> Query:
+    """Place of every event in the time order of its customer or order; equal rows share it."""
+
+    def query(spark, sf):
+        rows = built(spark, sf)["fact_event_timeline"].where(F.col(key).isNotNull())
+        place = Window.partitionBy(key).orderBy(F.asc_nulls_last("event_timestamp"), "event_id")
+        return rows.select(key, "event_id", "event_type", F.rank().over(place).alias("position"))
+
+    return query
 
 
 def raw_fingerprint(spark, sf):
@@ -316,6 +345,9 @@ QUERIES: dict[str, Query] = {
     "table_profile": table_profile,
     "relationship_check": relationship_check,
     "raw_fingerprint": raw_fingerprint,
+    "text_timestamps": text_timestamps,
+    "customer_timeline": _timeline("customer_id_clean"),
+    "order_timeline": _timeline("order_id"),
 }
 
 
@@ -347,6 +379,24 @@ def tfidf_candidates(spark, sf):
     return presented(found.select("query_id", "doc_id", "score", "position"), 6)
 
 
+def filtered_candidates(spark, sf):
+    """The candidates among documents only."""
+    found = candidates(
+        b.questions(spark, sf), text_index(spark, sf), STOP_WORDS, pool=20,
+        filters={"entity_type": "document", "customer_id": ""},
+    )
+    return presented(found.select("query_id", "doc_id", "score", "position"), 6)
+
+
+def named_order_candidates(spark, sf):
+    """Questions that name an order are answered from that order."""
+    asked = b.questions(spark, sf).withColumn(
+        "query", F.concat("query", F.lit(" order "), F.lpad("query_id", 10, "0"))
+    )
+    found = candidates(asked, text_index(spark, sf), STOP_WORDS, pool=20)
+    return presented(found.select("query_id", "doc_id", "score", "position"), 6)
+
+
 def retrieve_evidence(spark, sf):
     found = retrieve(b.questions(spark, sf), text_index(spark, sf), stop_words=STOP_WORDS)
     return presented(
@@ -369,6 +419,8 @@ QUERIES.update(
     {
         "tfidf_vocabulary": tfidf_vocabulary,
         "tfidf_candidates": tfidf_candidates,
+        "filtered_candidates": filtered_candidates,
+        "named_order_candidates": named_order_candidates,
         "retrieve_evidence": retrieve_evidence,
         "evidence_summaries": evidence_summaries,
     }

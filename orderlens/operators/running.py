@@ -59,16 +59,17 @@ def running_before(
 def value_at_quantile(df: DataFrame, instant: str, share: float) -> DataFrame:
     """Exact, linearly interpolated quantile of a timestamp column, in microseconds.
 
-    Distinct instants are counted first; their ranks come from day buckets, so no
-    task ever holds the whole column.
+    Distinct instants are counted first; their ranks come from day, hour and minute
+    buckets, so no task ever holds the whole column.
     """
+    parts = {"day": 86_400_000_000, "hour": 3_600_000_000, "minute": 60_000_000}
     points = (
         df.where(F.col(instant).isNotNull())
         .groupBy(F.unix_micros(instant).alias("at"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("day", F.floor(F.col("at") / F.lit(86_400_000_000)))
+        .withColumns({name: F.floor(F.col("at") / F.lit(size)) for name, size in parts.items()})
     )
-    ranked = running_before(points, [], ["day"], [F.col("at")], {"before": F.col("n")})
+    ranked = running_before(points, [], list(parts), [F.col("at")], {"before": F.col("n")})
     position = points.agg(((F.sum("n") - 1) * F.lit(share)).alias("p")).scalar()
     low, high = F.floor(position), F.ceil(position)
     holds = lambda rank: (F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))
@@ -85,7 +86,7 @@ def time_ranked(df: DataFrame, instant: str, id_column: str, rank: str) -> DataF
     """Zero-based global rank by time; equal times follow the SHA-1 of the id.
 
     Ranks come from buckets instead of one sorted partition: the hour, the exact
-    instant inside it, and a hash prefix for the rows that share an instant.
+    instant inside it, and two hash prefixes for the rows that share an instant.
     """
     micros = F.unix_micros(instant)
     slotted = df.withColumns(
@@ -94,12 +95,12 @@ def time_ranked(df: DataFrame, instant: str, id_column: str, rank: str) -> DataF
             "_instant": micros,
             "_tie": F.sha1(F.col(id_column).cast("string")),
         }
-    ).withColumn("_part", F.substring("_tie", 1, 3))
+    ).withColumns({"_part": F.substring("_tie", 1, 3), "_fine": F.substring("_tie", 1, 6)})
     ranked = running_before(
         slotted,
         [],
-        ["_hour", "_instant", "_part"],
+        ["_hour", "_instant", "_part", "_fine"],
         [F.col("_tie")],
         {rank: F.lit(1).cast("long")},
     )
-    return ranked.drop("_hour", "_instant", "_tie", "_part")
+    return ranked.drop("_hour", "_instant", "_tie", "_part", "_fine")

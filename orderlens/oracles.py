@@ -688,7 +688,8 @@ ORACLES: dict[str, str] = {
         SELECT order_id, {', '.join(f'round({c}, 4) AS {c}' for c in _RISK)} FROM scores
         ORDER BY greatest({', '.join(_RISK)}) DESC, order_id LIMIT 20"""),
     "relationship_check": star("""
-        SELECT relationship, count(*) AS rows, count_if(NOT found)::bigint AS orphans
+        SELECT relationship, count(*) AS rows, count_if(NOT found)::bigint AS orphans,
+               0::bigint AS repeated_keys
         FROM (
             SELECT 'fact_order_risk_features.order_id -> fact_order.order_id' AS relationship,
                    order_id IN (SELECT order_id FROM fact_order) AS found
@@ -714,7 +715,13 @@ ORACLES: dict[str, str] = {
             SELECT 'fact_customer_daily.customer_id_clean -> dim_customer.customer_id_clean',
                    customer_id_clean IN (SELECT customer_id_clean FROM dim_customer
                                          WHERE customer_id_clean IS NOT NULL)
-            FROM fact_customer_daily WHERE customer_id_clean IS NOT NULL)
+            FROM fact_customer_daily WHERE customer_id_clean IS NOT NULL
+            UNION ALL
+            SELECT 'order_risk_scores.order_id -> fact_order.order_id',
+                   order_id IN (SELECT order_id FROM fact_order) FROM scores
+            UNION ALL
+            SELECT 'fact_order.order_id -> order_risk_scores.order_id',
+                   order_id IN (SELECT order_id FROM scores) FROM fact_order)
         GROUP BY relationship"""),
 }
 
@@ -751,6 +758,19 @@ def _terms(source: str, key: str, text: str) -> str:
         GROUP BY {key}, term"""
 
 
+def _candidates(named: str, matches: str, rule: str = "true") -> str:
+    return f"""
+        SELECT b.item_id, c.doc_id, c.entity_type, c.order_id, c.customer_id,
+               coalesce(m.score, 0.0) AS score,
+               row_number() OVER (PARTITION BY b.item_id
+                                  ORDER BY coalesce(m.score, 0.0) DESC, c.doc_id)::int AS position
+        FROM benchmark b CROSS JOIN corpus c
+        LEFT JOIN {named} n ON n.item_id = b.item_id
+        LEFT JOIN {matches} m ON m.item_id = b.item_id AND m.doc_id = c.doc_id
+        WHERE (n.item_id IS NULL OR n.order_id = c.order_id) AND {rule}
+        QUALIFY position <= 20"""
+
+
 CTES.update(
     {
         "corpus": """
@@ -781,16 +801,7 @@ CTES.update(
         SELECT item_id, order_id FROM (
             SELECT item_id, nullif(regexp_extract(text, '{_REFERENCE}', 1), '') AS order_id
             FROM benchmark) WHERE order_id IN (SELECT order_id FROM corpus)""",
-        "candidates": """
-        SELECT b.item_id, c.doc_id, c.entity_type, c.order_id, c.customer_id,
-               coalesce(m.score, 0.0) AS score,
-               row_number() OVER (PARTITION BY b.item_id
-                                  ORDER BY coalesce(m.score, 0.0) DESC, c.doc_id)::int AS position
-        FROM benchmark b CROSS JOIN corpus c
-        LEFT JOIN named_orders n ON n.item_id = b.item_id
-        LEFT JOIN matches m ON m.item_id = b.item_id AND m.doc_id = c.doc_id
-        WHERE n.item_id IS NULL OR n.order_id = c.order_id
-        QUALIFY position <= 20""",
+        "candidates": _candidates("named_orders", "matches"),
         "likeness": """
         SELECT a.item_id, a.doc_id AS one, b.doc_id AS other, sum(v.weight * w.weight) AS likeness
         FROM candidates a JOIN doc_vectors v ON v.doc_id = a.doc_id
@@ -844,8 +855,46 @@ CTES["themes"] = f"""
               QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, i) <= 3)
         GROUP BY item_id"""
 
+CTES["referring"] = """
+        SELECT item_id, text || ' order ' || lpad(item_id::varchar, 10, '0') AS text FROM benchmark"""
+CTES["referring_terms"] = _terms("referring", "item_id", "text")
+CTES["referring_matches"] = """
+        SELECT item_id, doc_id, round(sum(q.weight * d.weight), 9) AS score
+        FROM (SELECT item_id, term,
+                     tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY item_id)) AS weight
+              FROM referring_terms JOIN vocabulary USING (term)) q
+        JOIN doc_vectors d USING (term) GROUP BY item_id, doc_id"""
+CTES["referred"] = f"""
+        SELECT item_id, order_id FROM (
+            SELECT item_id, nullif(regexp_extract(text, '{_REFERENCE}', 1), '') AS order_id
+            FROM referring) WHERE order_id IN (SELECT order_id FROM corpus)"""
+CTES["referring_candidates"] = _candidates("referred", "referring_matches")
+CTES["document_candidates"] = _candidates("named_orders", "matches", "c.entity_type = 'document'")
+
 ORACLES.update(
     {
+        "filtered_candidates": star("""
+        SELECT item_id::varchar AS query_id, doc_id, round(score, 6) AS score, position
+        FROM document_candidates"""),
+        "named_order_candidates": star("""
+        SELECT item_id::varchar AS query_id, doc_id, round(score, 6) AS score, position
+        FROM referring_candidates"""),
+        "text_timestamps": f"""
+        SELECT o_orderkey, {_at('parsed')} AS parsed FROM (
+            SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN o_orderdate::timestamp
+                   WHEN 1 THEN o_orderdate + INTERVAL '7 hours 8 minutes 9 seconds'
+                   WHEN 2 THEN o_orderdate + INTERVAL '7 hours 8 minutes 9.5 seconds' END AS parsed
+            FROM orders)""",
+        "customer_timeline": star("""
+        SELECT customer_id_clean, event_id, event_type,
+               rank() OVER (PARTITION BY customer_id_clean
+                            ORDER BY event_timestamp ASC NULLS LAST, event_id)::int AS position
+        FROM fact_event_timeline WHERE customer_id_clean IS NOT NULL"""),
+        "order_timeline": star("""
+        SELECT order_id, event_id, event_type,
+               rank() OVER (PARTITION BY order_id
+                            ORDER BY event_timestamp ASC NULLS LAST, event_id)::int AS position
+        FROM fact_event_timeline WHERE order_id IS NOT NULL"""),
         "evidence_summaries": star("""
         SELECT item_id::varchar AS query_id,
                'Retrieved ' || count(*) || ' evidence records. Relevant orders: '

@@ -143,7 +143,8 @@ def table_profile(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def relationship_check(tables: dict[str, DataFrame]) -> DataFrame:
-    """Rows of the many side whose key is missing on the one side, per relationship."""
+    """Per relationship: rows of the many side, those whose key is missing on the one side,
+    and keys of the one side that are not unique."""
     # --- Fixed values: many side, its key, one side, its key
     relationships = [
         ("fact_order_risk_features", "order_id", "fact_order", "order_id"),
@@ -152,7 +153,10 @@ def relationship_check(tables: dict[str, DataFrame]) -> DataFrame:
         ("fact_event_timeline", "order_id", "fact_order", "order_id"),
         ("fact_order", "customer_id_clean", "dim_customer", "customer_id_clean"),
         ("fact_customer_daily", "customer_id_clean", "dim_customer", "customer_id_clean"),
+        ("order_risk_scores", "order_id", "fact_order", "order_id"),
+        ("fact_order", "order_id", "order_risk_scores", "order_id"),
     ]
+    relationships = [r for r in relationships if r[0] in tables and r[2] in tables]
     checks = None
     for many, key, one, one_key in relationships:
         # Keys are counted before the join, so a frequent key is one row in it.
@@ -160,13 +164,17 @@ def relationship_check(tables: dict[str, DataFrame]) -> DataFrame:
             tables[many].where(F.col(key).isNotNull())
             .groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n"))
         )
-        known = tables[one].select(F.col(one_key).alias("key"), F.lit(True).alias("known"))
+        known = tables[one].groupBy(F.col(one_key).alias("key")).agg(
+            F.count(F.lit(1)).alias("known")
+        )
+        twice = known.where(F.col("key").isNotNull()).agg(F.count_if(F.col("known") > 1)).scalar()
         check = keys.join(known, "key", "left").agg(
             F.lit(f"{many}.{key} -> {one}.{one_key}").alias("relationship"),
             F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
             F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("n"))), F.lit(0)).alias(
                 "orphans"
             ),
+            F.max(twice).alias("repeated_keys"),
         )
         checks = check if checks is None else checks.unionByName(check)
     return checks

@@ -10,14 +10,17 @@ from ..functions import ids, time
 from ..functions.numbers import ratio_or_zero
 from ..operators.running import running_before
 
+# Leading characters of an order id that share a slot.
+SLOT_PREFIX = 6
+
 
 def order_risk_features(fact_order: DataFrame) -> DataFrame:
     """The order fact plus calendar parts and what earlier orders showed.
 
     Earlier means an earlier creation time, or the same time and a smaller id.
     Orders without customer (or plant) share one history. Histories are running
-    totals over day buckets, so a customer or plant with very many orders is
-    spread over many tasks.
+    totals over days and, inside a day, over slots of an instant and an id prefix, so
+    a customer, plant or day with very many orders is spread over many tasks.
     """
     created = F.col("order_created_at")
     dated = fact_order.where(created.isNotNull() & F.col("order_id").isNotNull()).withColumns(
@@ -28,6 +31,11 @@ def order_risk_features(fact_order: DataFrame) -> DataFrame:
             "order_month_num": F.month(created),
             "order_quarter": F.quarter(created),
             "_day": time.day_number(created),
+            # Grows with (created, order_id).
+            "_slot": F.concat(
+                F.lpad(F.pmod(F.unix_micros(created), F.lit(time.MICROS_PER_DAY)).cast("string"), 11, "0"),
+                F.substring("order_id", 1, SLOT_PREFIX),
+            ),
             "_customer": ids.joinable(F.col("customer_id_clean")),
             # A plant is not a cleaned id, so null and '' must stay apart.
             "_plant": F.coalesce(F.concat(F.lit("p"), F.col("primary_plant")), F.lit("")),
@@ -39,14 +47,14 @@ def order_risk_features(fact_order: DataFrame) -> DataFrame:
     by_customer = running_before(
         dated,
         ["_customer"],
-        ["_day"],
+        ["_day", "_slot"],
         order,
         {"customer_prior_orders": one, **{f"_prior_{t}": flag(t) for t in TARGETS}},
     )
     by_plant = running_before(
         by_customer,
         ["_plant"],
-        ["_day"],
+        ["_day", "_slot"],
         order,
         {"plant_prior_orders": one, "_prior_plant_delays": flag("will_be_delayed")},
     )
@@ -62,4 +70,4 @@ def order_risk_features(fact_order: DataFrame) -> DataFrame:
                 F.col("_prior_plant_delays"), F.col("plant_prior_orders")
             ),
         }
-    ).drop("_day", "_customer", "_plant", "_prior_plant_delays", *[f"_prior_{t}" for t in TARGETS])
+    ).drop("_day", "_slot", "_customer", "_plant", "_prior_plant_delays", *[f"_prior_{t}" for t in TARGETS])

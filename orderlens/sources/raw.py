@@ -55,7 +55,8 @@ def read_all(
 
 
 def file_listing(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """name, path, length and modification time of each file; contents stay unread."""
+    """name, path below the table's own folder, length and modification time of each file;
+    contents stay unread."""
     listing = None
     for name, path in sorted(paths.items()):
         try:
@@ -63,7 +64,11 @@ def file_listing(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
                 spark.read.format("binaryFile")
                 .option("recursiveFileLookup", "true")
                 .load(path)
-                .select(F.lit(name).alias("name"), "path", "length", "modificationTime")
+                .select(
+                    F.lit(name).alias("name"),
+                    F.substring_index("path", path.rstrip("/").rsplit("/", 1)[-1], -1).alias("path"),
+                    "length", "modificationTime",
+                )
             )
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
