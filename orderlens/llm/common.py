@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from pathlib import Path
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +15,12 @@ from orderlens.session import ensure_checkpoint_dir, written
 _HOME = str(Path(__file__).resolve().parents[2])
 # Arrow batches are bounded by rows and by bytes, so that very long texts do not
 # pile up in one Python worker.
-BATCH_ROWS = 2_000
+BATCH_ROWS = 500
 BATCH_BYTES = 32 << 20
+# Rows of at most some 100 bytes that are broadcast after they were counted.
+BROADCAST_ROWS = 200_000
+
+T = TypeVar("T")
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -49,4 +55,22 @@ def raw_bytes(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
-__all__ = ["held_out", "prepare", "raw_bytes", "remainder", "table", "written"]
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written, narrow table, broadcast if its counted rows are few; a larger one is left
+    to a shuffle join."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+_kept: dict[str, object] = {}
+
+
+def kept(key: str, make: Callable[[], T]) -> T:
+    """What `make` gives, once per worker process; only the latest key is held, so that the
+    models and caches of an earlier stage do not stay in memory."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+__all__ = ["broadcast_if_small", "held_out", "kept", "prepare", "raw_bytes", "remainder", "table", "written"]

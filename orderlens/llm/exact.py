@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import prepare, written
+from orderlens.llm.common import broadcast_if_small, prepare, written
 
 SPACES = "[\\x20\\x09-\\x0D]+"
 HEAD_CHARS = 48
@@ -43,51 +43,40 @@ def _named(values: DataFrame, keys: list[str]) -> DataFrame:
     return names.withColumn("name", F.monotonically_increasing_id()).checkpoint()
 
 
-def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    return left.join(right, keys, "left")
-
-
 def identities(docs: DataFrame, block_chars: int = BLOCK_CHARS, head_chars: int = HEAD_CHARS) -> DataFrame:
-    """(row, doc_id, text_sha256, length, name) per input row; texts are equal exactly
-    where (length, name) is. `row` numbers the rows."""
+    """(doc_id, text_sha256, length, name) per input row; texts are equal exactly where
+    (length, name) is.
+
+    Heads and whole texts are read in two passes that share no row numbers, only values, so
+    an input whose rows come in another order the second time does no harm.
+    """
     prepare(docs.sparkSession)
-    norm = docs.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", normalised("text").alias("norm")
-    )
-    heads = written(
-        norm.select(
-            "row",
-            "doc_id",
-            F.sha2(F.col("norm"), 256).alias("text_sha256"),
-            F.length("norm").cast("long").alias("length"),
-            F.substring("norm", 1, head_chars).alias("head"),
-        ),
-        "heads",
-    )
-    classes = (
-        heads.groupBy("length", "head")
-        .agg(F.count("*").alias("members"))
-        .checkpoint()
+    norm = normalised("text")
+    texts = docs.select(
+        "doc_id", norm.alias("norm"), F.length(norm).cast("long").alias("length"),
+        F.substring(norm, 1, head_chars).alias("head"), F.sha2(norm, 256).alias("text_sha256"),
     )
-    head_names = _named(classes, ["length", "head"])
-    tied = classes.where((F.col("members") > 1) & (F.col("length") > head_chars))
-    first = heads.join(head_names, ["length", "head"], "left")
+    heads = written(texts.drop("norm"), "heads")
+    key = ["length", "head"]
+    classes = written(heads.groupBy(*key).agg(F.count("*").alias("members")), "classes")
+    several = (F.col("members") > 1) & (F.col("length") > head_chars)
+    tied = written(classes.where(several).select(*key), "tied")
+    named = heads.join(_named(classes.where(~several), key), key)
+    out = named.select("doc_id", "text_sha256", "length", F.col("name") * 2 + 1)
     if tied.isEmpty():
-        return first.select("row", "doc_id", "text_sha256", "length", "name")
+        return out.toDF("doc_id", "text_sha256", "length", "name")
 
     # Whole texts of the classes that the head cannot tell apart.
-    longest = tied.agg(F.max("length")).first()[0]
-    text = norm.select(F.length("norm").cast("long").alias("length"), "row", "norm")
-    text = text.withColumn("head", F.substring("norm", 1, head_chars))
-    text = text.join(tied.select("length", "head"), ["length", "head"], "left_semi")
+    text = texts.join(broadcast_if_small(tied), key, "left_semi").drop("head")
+    text = written(text.withColumn("row", F.monotonically_increasing_id()), "texts")
+    last = F.floor((F.col("length") - 1) / block_chars).cast("int")
     cut = F.transform(
-        F.sequence(F.lit(0), F.floor((F.col("length") - 1) / block_chars).cast("int")),
+        F.sequence(F.lit(0), last),
         lambda i: F.substring(F.col("norm"), i * block_chars + 1, F.lit(block_chars)),
     )
     blocks = text.select("row", F.posexplode(cut).alias("place", "block"))
-    blocks = written(blocks, "blocks")
-    level = _joined(blocks, _named(blocks, ["block"]), ["block"]).select("row", "place", "name")
-    width = -(-longest // block_chars)
+    level = blocks.join(_named(blocks, ["block"]), "block").select("row", "place", "name")
+    width = -(-tied.agg(F.max("length")).first()[0] // block_chars)
     while width > 1:
         half = level.select(
             "row",
@@ -99,14 +88,13 @@ def identities(docs: DataFrame, block_chars: int = BLOCK_CHARS, head_chars: int
             F.max("left").alias("left"), F.coalesce(F.max("right"), F.lit(-1)).alias("right")
         )
         pairs = written(pairs, "pairs")
-        level = _joined(pairs, _named(pairs, ["left", "right"]), ["left", "right"])
-        level = level.select("row", "place", "name")
+        names = _named(pairs, ["left", "right"])
+        level = pairs.join(names, ["left", "right"]).select("row", "place", "name")
         width = -(-width // 2)
-    named = written(level.select("row", F.col("name").alias("whole")), "names")
-    # Names of heads stay below the names of whole texts: even and odd.
-    both = first.join(named, "row", "left")
-    name = F.when(F.col("whole").isNull(), F.col("name") * 2).otherwise(F.col("whole") * 2 + 1)
-    return both.select("row", "doc_id", "text_sha256", "length", name.alias("name"))
+    whole = text.select("row", "doc_id", "text_sha256", "length").join(level.select("row", "name"), "row")
+    # Even names are those of whole texts, odd ones those of heads.
+    whole = whole.select("doc_id", "text_sha256", "length", F.col("name") * 2)
+    return out.union(whole).toDF("doc_id", "text_sha256", "length", "name")
 
 
 def exact_duplicates(docs: DataFrame, block_chars: int = BLOCK_CHARS, head_chars: int = HEAD_CHARS) -> DataFrame:
@@ -115,7 +103,8 @@ def exact_duplicates(docs: DataFrame, block_chars: int = BLOCK_CHARS, head_chars
     groups = ids.groupBy("length", "name").agg(
         F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")
     )
-    return ids.join(groups, ["length", "name"]).select(
+    # Written first, so that the join may split the rows of a hot group.
+    return ids.join(written(groups, "groups"), ["length", "name"]).select(
         "doc_id",
         "keep_id",
         "group_size",
@@ -133,8 +122,9 @@ def without_copies(docs: DataFrame) -> DataFrame:
 def keep_rows(docs: DataFrame, decided: DataFrame, tag: Column) -> DataFrame:
     """Rows of `docs` whose (doc_id, tag) was kept; of rows that repeat both, one.
 
-    `decided` has doc_id, kept and text_sha256 for every row. Dropped keys are few, so
-    they are taken out of the texts rather than the kept ones put together with them.
+    `decided` has doc_id, kept and text_sha256 for every row. The dropped keys are taken
+    out of the texts, which are not shuffled as long as these keys are few; rows that
+    repeat are only looked for where there are any.
     """
     keys = decided.groupBy("doc_id", "text_sha256").agg(
         F.max("kept").alias("kept"), F.count("*").alias("times")
@@ -145,6 +135,10 @@ def keep_rows(docs: DataFrame, decided: DataFrame, tag: Column) -> DataFrame:
     odd = written(odd, "dropped")
     tagged = docs.withColumn("_own", tag)
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_tag"))
-    once = tagged.join(odd, same, "left_anti")
-    repeated = tagged.join(odd.where("_kept"), same, "left_semi").dropDuplicates(["doc_id", "_own"])
+    once = tagged.join(broadcast_if_small(odd), same, "left_anti")
+    again = odd.where("_kept")
+    if again.isEmpty():
+        return once.drop("_own")
+    again = written(again, "repeated")
+    repeated = tagged.join(broadcast_if_small(again), same, "left_semi").dropDuplicates(["doc_id", "_own"])
     return once.unionByName(repeated).drop("_own")

@@ -157,7 +157,8 @@ def near_duplicates(docs: DataFrame, *extra: Column, shingle: int = SHINGLE, see
     labels = named.join(groups, "root").select("fp", "component")
     whole = classes.join(labels, "fp", "left")
     whole = whole.select("fp", F.coalesce("component", "least").alias("component_id"))
-    return prints.join(whole, "fp")
+    # Written first, so that the join may split the rows of a hot fingerprint.
+    return prints.join(written(whole, "components"), "fp")
 
 
 def digest(found: DataFrame) -> DataFrame:
