@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from orderlens.llm.common import prepare, raw_bytes
 
 WIDTH = 10
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 12 << 20
 SLICE_WORDS = 2_000_000
 SAMPLE = 8
 

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import held_out, prepare, written
+from orderlens.llm.common import held_out, kept, prepare, written
 from orderlens.llm.words import KeyTable, by_length, short_words
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -40,7 +40,7 @@ FOLDS, HELD_FOLD = 4, 2
 UNKNOWN = "und"
 # Expected count that every piece has in every language beforehand.
 PRIOR_COUNT = 0.05
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -167,17 +167,6 @@ def has_letter(text: str, words: list[bytes]) -> bool:
     return any(97 <= w[0] <= 122 for w in words) or any(c.isalpha() for c in text)
 
 
-_scorers: dict[str, Scorer] = {}
-
-
-def scorer(model: Model) -> Scorer:
-    """One scorer per worker process; a new model takes the place of the last one."""
-    if model.name not in _scorers:
-        _scorers.clear()
-        _scorers[model.name] = Scorer(model)
-    return _scorers[model.name]
-
-
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """(lang, text) of a bounded part of the learnable rows, by a hash of the id."""
     known = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
@@ -239,7 +228,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("lang_pred string, score double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = scorer(shared.value)
+        model = shared.value
+        own = kept(model.name, lambda: Scorer(model))
         for texts in batches:
             if not own.languages:
                 yield pd.DataFrame({"lang_pred": [UNKNOWN] * len(texts), "score": 0.0})

@@ -30,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import prepare, raw_bytes, written
+from orderlens.llm.common import kept, prepare, raw_bytes, written
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
 SEPARATOR = 0
 SHARD_PIECES = 8_192
-CACHED_CHUNKS = 600_000
-CACHED_PARTS = 500_000
+CACHED_CHUNKS = 400_000
+CACHED_PARTS = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 # Chunks of these characters are cut without the library: printable ASCII and the letters and
@@ -106,14 +106,9 @@ class Encoder:
             return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One encoder per worker process and file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return kept(path, lambda: Encoder(path))
 
 
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:

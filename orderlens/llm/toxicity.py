@@ -20,6 +20,7 @@ ignored.
 from __future__ import annotations
 
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,11 +29,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import held_out, prepare, written
+from orderlens.llm.common import held_out, kept, prepare, written
 from orderlens.llm.words import by_length, short_words
 
-SAMPLE_ROWS = 3_000
-SAMPLE_BYTES = 16 << 20
+SAMPLE_ROWS = 2_000
+SAMPLE_BYTES = 8 << 20
 FOLDS, HELD_FOLD = 4, 2
 THRESHOLD = 0.3
 BUCKETS = 1 << 16
@@ -41,7 +42,7 @@ GRAMS = (3, 4, 5)
 LEAST_WORD_TEXTS, LEAST_GRAM_TEXTS = 3, 5
 SMALL_SHARE = 1e-5
 STEPS, RATE = 60, 2.0
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 
 
 def gram_buckets(matrix: np.ndarray) -> np.ndarray:
@@ -97,25 +98,27 @@ def train(texts: list[list[bytes]], labels: np.ndarray, steps: int = STEPS, rate
     one step size suits them all. Words and n-grams of too few texts teach nothing and
     keep a vector of zero.
     """
-    number: dict[bytes, int] = {}
-    doc, word, share = [], [], []
-    for d, words in enumerate(texts):
-        for w, c in Counter(words).items():
-            doc.append(d)
-            word.append(number.setdefault(w, len(number)))
-            share.append(c / len(words))
+    spread = Counter(w for words in texts for w in set(words))
+    number = {w: i for i, w in enumerate(w for w, n in spread.items() if n >= LEAST_WORD_TEXTS)}
     if not number:
         return np.zeros(BUCKETS + 1)
-    doc, word, share = np.array(doc, np.int64), np.array(word, np.int64), np.array(share)
+    places, words_, shares = array("q"), array("q"), array("d")
+    for d, words in enumerate(texts):
+        for w, c in Counter(words).items():
+            if w in number:
+                places.append(d)
+                words_.append(number[w])
+                shares.append(c / len(words))
+    doc, word, share = np.array(places), np.array(words_), np.array(shares)
     rng = np.random.default_rng(seed)
     n, m, labels = len(texts), len(number), np.asarray(labels, np.int64)
-    spread = np.bincount(word, minlength=m)
+    often = np.array([spread[w] for w in number])
     gram, begin = _bags(list(number))
     owner = np.repeat(np.arange(m), np.diff(np.append(begin, len(gram))))
-    seen = np.bincount(gram, weights=spread[owner], minlength=BUCKETS)
+    seen = np.bincount(gram, weights=often[owner], minlength=BUCKETS)
     even = 1.0 / np.bincount(owner, minlength=m)[owner]
-    kept = (seen[gram] >= LEAST_GRAM_TEXTS) & (spread[owner] >= LEAST_WORD_TEXTS)
-    gram, owner, even = gram[kept], owner[kept], even[kept]
+    usable = seen[gram] >= LEAST_GRAM_TEXTS
+    gram, owner, even = gram[usable], owner[usable], even[usable]
     to_doc, from_doc = _Sums(doc, word, share), _Sums(word, doc, share)
     usual = _Sums(gram, owner, even)(from_doc(np.ones((n, 1), np.float32), m), BUCKETS)[:, 0] / n
     scale = 1 / np.sqrt(usual + SMALL_SHARE)
@@ -166,17 +169,6 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(sums + self.bias, -500, 500)))
 
 
-_scorers: dict[str, Scorer] = {}
-
-
-def scorer(key: str, odds: np.ndarray) -> Scorer:
-    """One scorer per worker process; a new model takes the place of the last one."""
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(odds)
-    return _scorers[key]
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
                     most_bytes: int = SAMPLE_BYTES) -> tuple[list, dict[int, int]]:
     """A bounded sample (text, toxic) of the learnable rows and the count of each label
@@ -217,7 +209,7 @@ def score_column(docs: DataFrame, model: np.ndarray) -> Column:
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = scorer(key, shared.value)
+        own = kept(key, lambda: Scorer(shared.value))
         for texts in batches:
             yield pd.Series(own.scores([t if isinstance(t, str) else None for t in texts]))
 

@@ -19,7 +19,7 @@ SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 def test_key_table():
     keys = np.random.default_rng(1).integers(0, 1 << 60, 5000).astype(np.uint64)
-    keys = np.unique(np.append(keys, 0))
+    keys = np.unique(np.append(keys, np.uint64(0)))
     own = KeyTable(keys)
     assert (own.find(keys) == np.arange(len(keys))).all()
     assert (own.find(keys + np.uint64(1 << 61)) == -1).all()
