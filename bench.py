@@ -23,7 +23,8 @@ HEADLINES = [
     "retrieval_corpus", "quality_metrics", "headline_kpis", "monthly_trend", "lifecycle_flow",
     "issue_customer_zscores", "overview_risk", "latest_orders", "complaint_change",
     "relationship_check", "binary_metrics", "best_thresholds", "time_ranks", "keyword_counts",
-    "order_references", "tfidf_candidates", "retrieve_evidence",
+    "order_references", "tfidf_candidates", "retrieve_evidence", "evidence_summaries",
+    "precision_recall", "calibrated_scores",
 ]
 
 
