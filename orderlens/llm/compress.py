@@ -34,18 +34,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import held_out, prepare, raw_bytes, written
+from orderlens.llm.common import held_out, kept, prepare, raw_bytes, written
 from orderlens.llm.words import KeyTable
 
 ORDER = 4
-NODES = 2_000_000
+NODES = 1_000_000
 FREQUENT = 100_000
 FOLDS, HELD_FOLD = 7, 2
 END, BEGIN, SYMBOLS = 256, 257, 257
 BITS = 9
-COUNTED_BYTES = 4 << 20
-SCORED_BYTES = 2 << 20
-COUNTED_WORDS = 300_000
+COUNTED_BYTES = 2 << 20
+SCORED_BYTES = 1 << 20
+COUNTED_WORDS = 150_000
 
 
 def stream(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -148,17 +148,6 @@ class Model:
         self.texts, self.order, self.name = texts, order, uuid.uuid4().hex
 
 
-_tries: dict[str, Trie] = {}
-
-
-def trie(model: Model) -> Trie:
-    """One trie per worker process; a new model takes the place of the last one."""
-    if model.name not in _tries:
-        _tries.clear()
-        _tries[model.name] = Trie(model.levels)
-    return _tries[model.name]
-
-
 def _chunks(texts: list[bytes], most: int) -> Iterator[list[int]]:
     """Places of texts that go together, up to `most` bytes or one longer text."""
     part, size = [], 0
@@ -270,7 +259,7 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        own, words = trie(model), model.words
+        own, words = kept(model.name, lambda: Trie(model.levels)), model.words
         logs = {w: float(np.log10(n + 1)) for w, n in words.items()}
         end = float(np.log10(model.texts + 1))
         row = TaskContext.get().partitionId() << 33

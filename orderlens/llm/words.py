@@ -40,7 +40,7 @@ class KeyTable:
 
     def __init__(self, keys: np.ndarray):
         keys = np.asarray(keys, np.uint64)
-        bits = max(4, int(2 * len(keys)).bit_length())
+        bits = max(4, int(1.4 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys = np.zeros(1 << bits, np.uint64)
         self.places = np.full(1 << bits, -1, np.int32)
