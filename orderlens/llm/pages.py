@@ -7,7 +7,7 @@ looked at.
 
 Then the token streams of a host's pages are put one after another and their suffixes are
 sorted. Token runs of RUN or more that come back on several distinct pages are boilerplate; the
-runs between them stay. Where the page marks no article, two pages are enough. Inside a
+runs between them stay, and so does a block of which less than half comes back. Where the page marks no article, two pages are enough. Inside a
 marked article a block only goes if all of it comes back on WIDESPREAD of the distinct
 pages, at least WIDE_PAGES: passages that articles share are text, not boilerplate. Pages with
 equal text count as one, and a page that would lose nearly everything is a copy and is kept.
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import prepare, written
+from orderlens.llm.common import broadcast_if_small, prepare, written
 
 RUN = 8
 WIDESPREAD, WIDE_PAGES = 0.6, 10
@@ -213,7 +213,10 @@ def main_texts(pages: list[list[str]], marked: list[bool], run: int = RUN) -> li
                     kept.append(block)
                     left += len(tokens)
             else:
-                unique = [t for t, s in zip(tokens, mine, strict=True) if s < 2]
+                shared = mine >= 2
+                if shared.mean() < 0.5:  # a run of the block before reaches in
+                    shared[:] = False
+                unique = [t for t, s in zip(tokens, shared, strict=True) if not s]
                 if unique:
                     kept.append(" ".join(unique))
                     left += len(unique)
@@ -241,12 +244,12 @@ def extract(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     blocks = frame.select("page_id", "url", "host", "html").mapInArrow(
         read, f"{ids}, host string, blocks array<string>, marked boolean"
     )
-    size = F.aggregate("blocks", F.lit(0).cast("long"), lambda n, b: n + F.octet_length(b) + 1)
-    blocks = written(blocks.withColumn("size", size), "page-blocks")
-    shards = written(blocks.groupBy("host").agg(F.ceil(F.sum("size") / shard_bytes).alias("shards")), "hosts")
-    place = F.pmod(F.xxhash64("row"), F.greatest("shards", F.lit(1)))
-    numbered = blocks.withColumn("row", F.monotonically_increasing_id())
-    dealt = numbered.join(shards, "host").withColumn("shard", place)
+    size = F.sum(F.octet_length("html")) / shard_bytes
+    shards = frame.groupBy("host").agg(F.greatest(F.ceil(size), F.lit(1)).alias("shards"))
+    shards = broadcast_if_small(written(shards.select("host", F.coalesce("shards", F.lit(1)).alias("shards")), "hosts"))
+    # A page's place depends on its id and url alone; copies of a text are spread.
+    place = F.pmod(F.xxhash64("page_id", "url"), F.col("shards"))
+    dealt = blocks.join(shards, "host").withColumn("shard", place)
 
     def clean(shard: pa.Table) -> pa.Table:
         texts = main_texts(shard.column("blocks").to_pylist(), shard.column("marked").to_pylist())
