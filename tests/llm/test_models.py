@@ -161,6 +161,15 @@ def test_ppm_against_brute_force(spark):
     check_ppm(rows, compress.score_documents(docs, frequent=300).collect(), compress.ORDER)
 
 
+@pytest.mark.parametrize("nodes", [0, 3000])
+def test_ppm_scores_do_not_depend_on_what_tasks_hold(spark, nodes):
+    docs = table(spark, SMALL, "documents").where("length(text) < 800")
+    strange = [(i, f"zq\x00 {i} Ωž qqxz thé") for i in range(9000, 9020)]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(strange, "doc_id long, text string"))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    check_ppm(rows, compress.score_documents(docs, nodes=nodes).collect(), compress.ORDER)
+
+
 def test_ppm_of_odd_rows(odd, nothing):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     check_ppm(rows, compress.score_documents(odd, order=2, frequent=4).collect(), 2)
