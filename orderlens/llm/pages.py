@@ -10,10 +10,14 @@ sorted. Token runs of RUN or more that come back on several distinct pages are b
 runs between them stay, and so does a block of which less than half comes back. Where the page marks no article, two pages are enough. Inside a
 marked article a block only goes if all of it comes back on WIDESPREAD of the distinct
 pages, at least WIDE_PAGES: passages that articles share are text, not boilerplate. Pages with
-equal text count as one, and a page that would lose nearly everything is a copy and is kept.
+equal text count as one.
 
-A host's pages are dealt over shards of a bounded size, so that no task holds a whole host; a
-page meets the other pages of its shard.
+A host's pages are dealt over shards of a bounded size, so that no task holds a whole host, but
+pages are counted over the whole host. A text is counted in the one shard its hash names;
+further copies of it are dealt by their ids and not counted, so the shards' counts add up. A run on WIDESPREAD
+of the host's pages is on WIDESPREAD of those of some shard: the suffix arrays of the shards
+name these runs, and only they are counted everywhere. Where a host has pages that mark no
+article, all its runs are counted. Between shards runs are named by 64 bits.
 
 Defined cases: null or empty html has an empty text of 0 characters; pages without a host (null
 url) share the empty host; rows that repeat a page_id are treated each for itself, with equal
@@ -25,18 +29,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.llm.common import broadcast_if_small, prepare, written
 
 RUN = 8
 WIDESPREAD, WIDE_PAGES = 0.6, 10
-COPIED = 0.9
 SHARD_BYTES = 4 << 20
 
 # Element names and words of class, id and role attributes.
@@ -170,40 +174,74 @@ def _depth_ranks(stream: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
+def _digest(text: str, size: int = 8) -> bytes:
+    return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=size).digest()
+
+
+class Streams:
+    """Token streams of the distinct pages among `pages`, one after another, each ended by a
+    separator of its own. `run` is a power of two."""
+
+    def __init__(self, pages: list[list[str]], run: int = RUN):
+        self.run = run
+        pages_at: dict[tuple, int] = {}
+        self.number = [pages_at.setdefault(tuple(p), len(pages_at)) for p in pages]
+        self.distinct = len(pages_at)
+        self.vocabulary: dict[str, int] = {}
+        place = self.vocabulary.setdefault
+        texts = [np.array([place(t, len(self.vocabulary)) for b in p for t in b.split(" ")], np.int64) for p in pages_at]
+        parts: list[np.ndarray] = []
+        for n, t in enumerate(texts):
+            parts += [t, np.array([len(self.vocabulary) + n])]
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        self.ends = np.cumsum(self.sizes + 1)
+        self.stream = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        self.owner = np.repeat(np.arange(self.distinct), self.sizes + 1)
+        # Places where a run begins that ends before its page does.
+        self.whole = np.arange(len(self.stream)) + run < self.ends[self.owner] if parts else np.zeros(0, bool)
+
+    def spread(self) -> np.ndarray:
+        """On how many distinct pages the run that begins at a place comes back, by sorted
+        suffixes. A run that reaches past a page's end holds its separator, so it comes back
+        nowhere."""
+        if not self.vocabulary:
+            return np.zeros(len(self.stream), np.int64)
+        rank = _depth_ranks(self.stream, self.run)
+        pairs = np.unique(rank * self.distinct + self.owner)
+        return np.bincount(pairs // self.distinct, minlength=int(rank.max()) + 1)[rank]
+
+    def keys(self) -> np.ndarray:
+        """64 bits that name the run that begins at a place, the same in every shard."""
+        names = np.frombuffer(b"".join(map(_digest, self.vocabulary)), np.uint64)
+        tokens = np.append(names, np.zeros(self.distinct, np.uint64))[self.stream]
+        out = np.zeros(len(tokens), np.uint64)
+        for k in range(self.run):
+            out *= np.uint64(0x9E3779B97F4A7C15)
+            out[: len(tokens) - k] += tokens[k:]
+        return out.view(np.int64)
+
+    def covers(self, spread: np.ndarray) -> list[np.ndarray]:
+        """Per token of every page: the largest spread of the runs that cover it."""
+        cover = spread.copy()
+        for back in range(1, min(self.run, len(spread))):
+            cover[back:] = np.maximum(cover[back:], spread[:-back])
+        out = [cover[e - n - 1 : e - 1] for n, e in zip(self.sizes, self.ends, strict=True)]
+        return [out[n] for n in self.number]
+
+
 def repeated(pages: list[list[str]], run: int = RUN) -> tuple[list[np.ndarray], int]:
     """Per token of every page: on how many distinct pages a run that covers it comes back,
     and the number of distinct pages. `run` is a power of two."""
-    distinct: dict[tuple, int] = {}
-    number = [distinct.setdefault(tuple(p), len(distinct)) for p in pages]
-    vocabulary: dict[str, int] = {}
-    texts = [np.array([vocabulary.setdefault(t, len(vocabulary)) for b in p for t in b.split(" ")], np.int64) for p in distinct]
-    if not vocabulary:
-        return [np.zeros(len(texts[n]), np.int64) for n in number], len(distinct)
-    parts, owner = [], []
-    for n, t in enumerate(texts):  # a separator of its own ends every page
-        parts += [t, np.array([len(vocabulary) + n])]
-        owner.append(np.full(len(t) + 1, n))
-    stream, owner = np.concatenate(parts), np.concatenate(owner)
-    rank = _depth_ranks(stream, run)
-    pairs = np.unique(rank * len(distinct) + owner)
-    spread = np.bincount(pairs // len(distinct), minlength=int(rank.max()) + 1)[rank]
-    # The largest spread of the runs that begin at or up to run - 1 tokens before a token.
-    cover = spread.copy()
-    for back in range(1, run):
-        cover[back:] = np.maximum(cover[back:], spread[:-back])
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    # A run that reaches past a page's end holds its separator, so it comes back nowhere.
-    out = [cover[e - len(t) - 1 : e - 1] for t, e in zip(texts, ends, strict=True)]
-    return [out[n] for n in number], len(distinct)
-
-
-def main_texts(pages: list[list[str]], marked: list[bool], run: int = RUN) -> list[str]:
-    """Texts of the pages of one shard without what they share as boilerplate."""
-    spreads, distinct = repeated(pages, run)
+    own = Streams(pages, run)
+    return own.covers(own.spread()), own.distinct
+
+
+def main_texts(pages: list[list[str]], marked: list[bool], spreads: list[np.ndarray], distinct: int) -> list[str]:
+    """Texts of pages without what the `distinct` pages of their host share as boilerplate."""
     wide = max(WIDE_PAGES, WIDESPREAD * distinct)
     out = []
     for blocks, whole, spread in zip(pages, marked, spreads, strict=True):
-        kept, at, left = [], 0, 0
+        kept, at = [], 0
         for block in blocks:
             tokens = block.split(" ")
             mine = spread[at : at + len(tokens)]
@@ -211,7 +249,6 @@ def main_texts(pages: list[list[str]], marked: list[bool], run: int = RUN) -> li
             if whole:
                 if not len(mine) or mine.min() < wide:
                     kept.append(block)
-                    left += len(tokens)
             else:
                 shared = mine >= 2
                 if shared.mean() < 0.5:  # a run of the block before reaches in
@@ -219,11 +256,79 @@ def main_texts(pages: list[list[str]], marked: list[bool], run: int = RUN) -> li
                 unique = [t for t, s in zip(tokens, shared, strict=True) if not s]
                 if unique:
                     kept.append(" ".join(unique))
-                    left += len(unique)
-        out.append("\n".join(blocks if left < (1 - COPIED) * at else kept))
+        out.append("\n".join(kept))
     return out
 
 
+def _named(shard: pa.Table) -> pa.Table:
+    """What a shard of several knows of its host: a row (run null) with its number of distinct
+    pages, and a row per run that is widespread in it."""
+    host, shards = shard.column("host")[0].as_py(), shard.column("shards")[0].as_py()
+    pages, unmarked, runs = [], [], np.zeros(0, np.int64)
+    if shards > 1:
+        own = Streams(shard.filter(shard.column("counted")).column("blocks").to_pylist())
+        if own.distinct:
+            runs = np.unique(own.keys()[own.whole & (own.spread() >= WIDESPREAD * own.distinct - 1e-6)])
+        pages, unmarked = [own.distinct], [not all(shard.column("marked").to_pylist())]
+    n = len(runs)
+    rows = len(pages) + n
+    return pa.table({
+        "host": pa.array([host] * rows, pa.string()), "shards": pa.array([shards] * rows, pa.int64()),
+        "run": pa.concat_arrays([pa.nulls(len(pages), pa.int64()), pa.array(runs)]),
+        "pages": pa.array(pages + [0] * n, pa.int64()), "unmarked": pa.array(unmarked + [False] * n, pa.bool_()),
+    })
+
+
+def _counted(shard: pa.Table, asked: pa.Table) -> pa.Table:
+    """Distinct pages of the shard with a run, for the runs asked for, or for all of them if the
+    host has pages that mark no article; the host's distinct pages, and whether it has such."""
+    runs = pages = np.zeros(0, np.int64)
+    distinct, unmarked = sum(asked.column("distinct").to_pylist()), any(asked.column("unmarked").to_pylist())
+    if len(shard) and (unmarked or len(asked) > 1):
+        own = Streams(shard.column("blocks").to_pylist())
+        at = np.flatnonzero(own.whole)
+        key = own.keys()[at]
+        if not unmarked:
+            wanted = np.isin(key, asked.column("run").drop_null().to_numpy())
+            at, key = at[wanted], key[wanted]
+        # A text of which only further copies are here is counted in another shard.
+        counted = np.zeros(own.distinct, bool)
+        counted[np.array(own.number)[np.array(shard.column("counted").to_pylist(), bool)]] = True
+        runs, where = np.unique(key, return_inverse=True)
+        pairs = np.unique(where * max(1, own.distinct) + own.owner[at])
+        pages = np.bincount(pairs // max(1, own.distinct), counted[pairs % max(1, own.distinct)], len(runs)).astype(np.int64)
+    n = len(runs)
+    host, place = (shard.column(c)[0].as_py() if n else None for c in ("host", "shard"))
+    return pa.table({
+        "host": pa.array([host] * n, pa.string()), "shard": pa.array([place] * n, pa.int64()),
+        "run": pa.array(runs, pa.int64()), "pages": pa.array(pages, pa.int64()),
+        "distinct": pa.array([distinct] * n, pa.int64()), "unmarked": pa.array([unmarked] * n, pa.bool_()),
+    })
+
+
+def _cleaned(shard: pa.Table, shared: pa.Table) -> pa.Table:
+    """page_id, url, text and n_chars of a shard's pages, given the runs (run, spread) that it
+    shares with other pages of the host and the host's number of distinct pages."""
+    blocks = shard.column("blocks").to_pylist()
+    own = Streams(blocks)
+    if not len(shard) or shard.column("shards")[0].as_py() == 1:
+        spread, distinct = own.spread(), own.distinct
+    else:
+        spread, distinct = np.ones(len(own.stream), np.int64), 0
+        if len(shared):
+            distinct = shared.column("distinct")[0].as_py()
+            runs, spreads = (shared.column(c).to_numpy() for c in ("run", "spread"))
+            order = np.argsort(runs)
+            key = own.keys()
+            at = order[np.minimum(np.searchsorted(runs[order], key), len(runs) - 1)]
+            spread = np.where(own.whole & (runs[at] == key), spreads[at], 1)
+    texts = main_texts(blocks, shard.column("marked").to_pylist(), own.covers(spread), distinct)
+    return pa.table({
+        "page_id": shard.column("page_id"), "url": shard.column("url"), "text": pa.array(texts, pa.string()),
+        "n_chars": pa.array([len(t) for t in texts], pa.int64()),
+    })
+
+
 def extract(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
     prepare(pages.sparkSession)
@@ -234,30 +339,42 @@ def extract(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     ids = f"page_id {kind['page_id']}, url {kind['url']}"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
             parsed = [blocks_of(h or "") for h in batch.column("html").to_pylist()]
             blocks = pa.array([p[0] for p in parsed], pa.list_(pa.string()))
+            names, first = [], []
+            for host, (texts, _) in zip(batch.column("host").to_pylist(), parsed, strict=True):
+                names.append(_digest("\n".join([host, *texts]), 16))
+                first.append(names[-1] not in seen)
+                seen.add(names[-1])
             arrays = [batch.column(c) for c in ("page_id", "url", "host")]
             arrays += [blocks, pa.array([p[1] for p in parsed], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "host", "blocks", "marked"])
+            arrays += [pa.array([int.from_bytes(n[:8], "big", signed=True) for n in names], pa.int64()), pa.array(first, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "host", "blocks", "marked", "name", "counted"])
 
     blocks = frame.select("page_id", "url", "host", "html").mapInArrow(
-        read, f"{ids}, host string, blocks array<string>, marked boolean"
+        read, f"{ids}, host string, blocks array<string>, marked boolean, name long, counted boolean"
     )
     size = F.sum(F.octet_length("html")) / shard_bytes
     shards = frame.groupBy("host").agg(F.greatest(F.ceil(size), F.lit(1)).alias("shards"))
     shards = broadcast_if_small(written(shards.select("host", F.coalesce("shards", F.lit(1)).alias("shards")), "hosts"))
-    # A page's place depends on its id and url alone; copies of a text are spread.
-    place = F.pmod(F.xxhash64("page_id", "url"), F.col("shards"))
+    # The first copy of a text that a task reads goes where the text is counted, the others
+    # are spread, so that a text with many copies does not fill one shard.
+    place = F.pmod(F.when(F.col("counted"), F.col("name")).otherwise(F.xxhash64("page_id", "url")), F.col("shards"))
     dealt = blocks.join(shards, "host").withColumn("shard", place)
-
-    def clean(shard: pa.Table) -> pa.Table:
-        texts = main_texts(shard.column("blocks").to_pylist(), shard.column("marked").to_pylist())
-        columns = {
-            "page_id": shard.column("page_id"), "url": shard.column("url"), "text": pa.array(texts, pa.string()),
-            "n_chars": pa.array([len(t) for t in texts], pa.int64()),
-        }
-        return pa.table(columns)
-
-    groups = dealt.select("page_id", "url", "blocks", "marked", "host", "shard").groupBy("host", "shard")
-    return groups.applyInArrow(clean, f"{ids}, text string, n_chars long")
+    dealt = dealt.select("page_id", "url", "blocks", "marked", "counted", "host", "shard", "shards").repartition("host", "shard")
+    # All three steps read the one exchange of `dealt`.
+    groups = dealt.groupBy("host", "shard")
+    asked = groups.applyInArrow(_named, "host string, shards long, run long, pages long, unmarked boolean")
+    asked = asked.groupBy("host", "run").agg(
+        F.max("shards").alias("shards"), F.sum("pages").alias("distinct"), F.max("unmarked").alias("unmarked")
+    )
+    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
+    counts = groups.cogroup(asked.groupBy("host", "shard")).applyInArrow(
+        _counted, "host string, shard long, run long, pages long, distinct long, unmarked boolean"
+    )
+    least = F.when(F.col("unmarked"), F.lit(2.0)).otherwise(F.greatest(F.lit(float(WIDE_PAGES)), WIDESPREAD * F.col("distinct")))
+    spread = F.sum("pages").over(Window.partitionBy("host", "run"))
+    shared = counts.withColumn("spread", spread).where(F.col("spread") >= least).select("host", "shard", "run", "spread", "distinct")
+    return groups.cogroup(shared.groupBy("host", "shard")).applyInArrow(_cleaned, f"{ids}, text string, n_chars long")

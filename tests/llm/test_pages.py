@@ -59,6 +59,33 @@ def test_host_wide_notice_in_articles_goes(spark):
     assert all(t.startswith("story") and notice not in t for _, t, _ in extracted(spark, rows))
 
 
+@pytest.mark.parametrize("shard_bytes", [1 << 9, 1 << 11, 1 << 22])
+def test_pages_are_counted_over_the_whole_host(spark, shard_bytes):
+    menu = "<div>home news sport weather local about us contact legal</div>"
+    pair = "<div>this pair of pages alone shares a line of so many words</div>"
+    rows = [(i, "http://h/x", f"{menu if i < 12 else ''}{pair if i in (3, 25) else ''}<div>only page {i} says things like number {i * 17}</div>") for i in range(40)]
+    rows += [(100 + i, "http://h/x", rows[30][2]) for i in range(30)]
+    want = {i: f"only page {i if i < 100 else 30} says things like number {(i if i < 100 else 30) * 17}" for i, _, _ in rows}
+    assert {i: t for i, t, _ in extracted(spark, rows, shard_bytes=shard_bytes)} == want
+
+
+@pytest.mark.parametrize("shard_bytes", [1 << 9, 1 << 11, 1 << 22])
+@pytest.mark.parametrize("noticed", [23, 24])
+def test_widespread_is_a_share_of_the_host_without_copies(spark, shard_bytes, noticed):
+    notice = "we would like to remind all of our visitors to read the rules before they write"
+    story = "<p>story {0} about thing {1} and so on and on {0}</p>"
+    rows = [(i, "http://h/x", f"<article>{story.format(i, i * 31)}<p>{notice if i < noticed else f'page {i} has no such words'}</p></article>") for i in range(40)]
+    rows += [(100 + i, "http://h/x", rows[39 * (i % 2)][2]) for i in range(30)]
+    got = [notice in t for i, t, _ in extracted(spark, rows, shard_bytes=shard_bytes) if i < noticed]
+    assert got == [noticed < 0.6 * 40] * noticed
+
+
+def test_a_page_of_shared_blocks_alone_is_no_copy(spark):
+    menu = "<div>home news sport weather local about us contact legal</div>"
+    rows = [(1, "http://h/x", menu), (2, "http://h/x", menu + "<div>some words</div>"), (3, "http://h/x", menu + "<div>other</div>")]
+    assert [t for _, t, _ in extracted(spark, rows)] == ["", "some words", "other"]
+
+
 def test_runs_by_brute_force():
     import random
 
