@@ -3,7 +3,10 @@
 A page is read into blocks of text. Elements that never hold an article (menus, page headers
 and footers, sidebars, notices, adverts, forms, scripts, comments of readers) are left out by
 tag, role or class words; where a page marks an article or main element, only that part is
-looked at.
+looked at. A class or id never drops an element that holds an article or main, except comments
+after an article, whose articles are comments too; words such as has, no or enabled speak of
+the page, not of the element. Inside an article the whole name has to say boilerplate, and a
+heading's id, which repeats its text, says nothing.
 
 Then the token streams of a host's pages are put one after another and their suffixes are
 sorted. Token runs of RUN or more that come back on several distinct pages are boilerplate; the
@@ -63,6 +66,16 @@ HINTS = set(
     " pagination skip toolbar complementary contentinfo".split()
 )
 OUTSIDE_HINTS = {"header"}
+COMMENTS = {"comment", "comments", "commentlist", "disqus", "replies"}
+STATES = {"has", "no", "not", "with", "without", "enabled", "disabled"}
+# Inside an article: words that are also an article's own, and words that may stand beside a hint.
+ORDINARY = set("notice notices alert discussion related recommended recommendations search login reply skip".split())
+RELATED = {"related", "recommended"}
+PARTS = set(
+    "area articles bar block box buttons container content form icons inner items links list panel posts reader readers section"
+    " stories thread user users wrap wrapper".split()
+)
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ENDS_BEFORE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDERS = {"ul", "ol", "dl", "table", "select", "menu", "tbody", "thead", "tfoot"}
 
@@ -75,37 +88,62 @@ _MARKS = re.compile(r"(?<![\w-])(class|id|role|style|aria-hidden|hidden)(?:\s*=\
 _WORDS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 
 
-def _unwanted(tag: str, rest: str, inside: bool) -> bool:
-    """Whether an element is left out with all it holds; `inside` an article."""
+def _named(name: str, inside: bool) -> set[str]:
+    """The words by which a class or an id names boilerplate."""
+    words = [w.lower() for w in _WORDS.findall(name)]
+    hints = HINTS.intersection(words)
+    if STATES.intersection(words):
+        return set()
+    if not inside:
+        return hints | OUTSIDE_HINTS.intersection(words)
+    if not all(w in HINTS or w in PARTS for w in words):
+        return set()
+    return hints if hints - ORDINARY or (words and words[0] in RELATED and len(words) > 1) else set()
+
+
+def _unwanted(tag: str, rest: str, inside: bool) -> str:
+    """Whether an element is left out with all it holds; `inside` an article. "always", or by
+    name alone: "hint" or "comments"; else empty."""
     if tag in DROPPED or (tag == "header" and not inside):
-        return True
+        return "always"
     if tag in ("html", "body", "article", "main") or "=" not in rest and "hidden" not in rest.lower():
-        return False
+        return ""
+    hints: set[str] = set()
     for m in _MARKS.finditer(rest):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return "always"
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if name in ("class", "id", "role"):
-            words = {w.lower() for w in _WORDS.findall(value)}
-            if words & HINTS or (not inside and words & OUTSIDE_HINTS):
-                return True
-    return False
+            return "always"
+        if name == "role":
+            hints |= HINTS.intersection(value.lower().split())
+        elif name in ("class", "id") and not (name == "id" and inside and tag in HEADINGS):
+            for part in value.split():
+                hints |= _named(part, inside)
+    return "comments" if hints & COMMENTS else "hint" if hints else ""
+
+
+class _Hinted:
+    """An element that a name drops, unless it turns out to hold an article."""
+
+    def __init__(self, around: _Hinted | None, closed: bool):
+        self.around, self.closed, self.holds = around, closed, False
 
 
 def blocks_of(html: str) -> tuple[list[str], bool]:
     """Blocks of visible text in page order, and whether they are from a marked article."""
-    stack: list[tuple[str, bool, bool]] = []  # tag, unwanted so far, inside an article
-    every: list[tuple[str, bool]] = []
-    current: list[str] = []
+    # tag, unwanted so far, inside an article, the innermost element that a name drops
+    stack: list[tuple[str, bool, bool, _Hinted | None]] = []
+    every: list[tuple[list[tuple[str, _Hinted | None]], bool]] = []
+    current: list[tuple[str, _Hinted | None]] = []
+    hinted: list[_Hinted] = []
+    seen = False  # an article or main
     at, size = 0, len(html)
 
     def end_block() -> None:
-        text = " ".join("".join(current).split())
-        current.clear()
-        if text:
-            every.append((text, bool(stack) and stack[-1][2]))
+        if current:
+            every.append((current.copy(), bool(stack) and stack[-1][2]))
+            current.clear()
 
     def pop_to(place: int) -> None:
         end_block()
@@ -116,13 +154,13 @@ def blocks_of(html: str) -> tuple[list[str], bool]:
         if here < 0:
             here = size
         if here > at and not (stack and stack[-1][1]):
-            current.append(unescape(html[at:here]))
+            current.append((unescape(html[at:here]), stack[-1][3] if stack else None))
         if here == size:
             break
         m = _TOKEN.match(html, here)
         if not m:
             if not (stack and stack[-1][1]):
-                current.append("<")
+                current.append(("<", stack[-1][3] if stack else None))
             at = here + 1
             continue
         at = m.end()
@@ -134,7 +172,7 @@ def blocks_of(html: str) -> tuple[list[str], bool]:
                 end_block()
             place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if place is not None:
-                if any(t in BLOCKS for t, _, _ in stack[place:]):
+                if any(x[0] in BLOCKS for x in stack[place:]):
                     pop_to(place)
                 else:
                     del stack[place:]
@@ -150,17 +188,32 @@ def blocks_of(html: str) -> tuple[list[str], bool]:
                     break
                 if open_tag in HOLDERS or (open_tag in BLOCKS and open_tag not in ENDS_BEFORE):
                     break
-        unwanted, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        unwanted, inside, around = stack[-1][1:] if stack else (False, False, None)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
             at = size if close is None else (html.find(">", close.start()) + 1 or size)
             continue
         if tag in VOID or m["rest"].endswith("/>") and tag not in BLOCKS:
             continue
-        stack.append((tag, unwanted or _unwanted(tag, m["rest"], inside), inside or tag in ("article", "main")))
+        why = "" if unwanted else _unwanted(tag, m["rest"], inside)
+        if why in ("hint", "comments"):
+            around = _Hinted(around, why == "comments" and seen)
+            hinted.append(around)
+        if tag in ("article", "main") and not unwanted:
+            inside = seen = True
+            above = around
+            while above and not above.holds and not above.closed:
+                above.holds, above = True, above.around
+        stack.append((tag, unwanted or why == "always", inside or tag in ("article", "main"), around))
     end_block()
-    marked = [t for t, inside in every if inside]
-    return (marked, True) if marked else ([t for t, _ in every], False)
+    left_out: set[_Hinted | None] = set()
+    for x in hinted:
+        if not x.holds or x.around in left_out:
+            left_out.add(x)
+    texts = [(" ".join("".join([t for t, x in parts if x not in left_out]).split()), inside) for parts, inside in every]
+    texts = [(t, inside) for t, inside in texts if t]
+    marked = [t for t, inside in texts if inside]
+    return (marked, True) if marked else ([t for t, _ in texts], False)
 
 
 def _depth_ranks(stream: np.ndarray, depth: int) -> np.ndarray:
@@ -260,7 +313,7 @@ def main_texts(pages: list[list[str]], marked: list[bool], spreads: list[np.ndar
     return out
 
 
-def _named(shard: pa.Table) -> pa.Table:
+def _asked(shard: pa.Table) -> pa.Table:
     """What a shard of several knows of its host: a row (run null) with its number of distinct
     pages, and a row per run that is widespread in it."""
     host, shards = shard.column("host")[0].as_py(), shard.column("shards")[0].as_py()
@@ -366,7 +419,7 @@ def extract(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     dealt = dealt.select("page_id", "url", "blocks", "marked", "counted", "host", "shard", "shards").repartition("host", "shard")
     # All three steps read the one exchange of `dealt`.
     groups = dealt.groupBy("host", "shard")
-    asked = groups.applyInArrow(_named, "host string, shards long, run long, pages long, unmarked boolean")
+    asked = groups.applyInArrow(_asked, "host string, shards long, run long, pages long, unmarked boolean")
     asked = asked.groupBy("host", "run").agg(
         F.max("shards").alias("shards"), F.sum("pages").alias("distinct"), F.max("unmarked").alias("unmarked")
     )

@@ -31,6 +31,37 @@ def test_structure(spark):
     assert extracted(spark, rows) == [(i, t, len(t)) for i, t in want]
 
 
+@pytest.mark.parametrize("around", [
+    '<div class="content has-sidebar">', '<div id="page" class="no-sidebar">', '<div class="search-enabled">',
+    '<div class="sidebar">', '<div id="main-menu"><div class="Widget">', '<section class="withComments">',
+])
+def test_names_around_an_article_do_not_drop_it(around):
+    assert pages.blocks_of(f'{around}<nav>n</nav><article><p>real text</p></article><p>x</p></div>') == (["real text"], True)
+    assert pages.blocks_of(f'{around}<main>real text</main><div class="ad">x</div>') == (["real text"], True)
+
+
+@pytest.mark.parametrize("part", [
+    '<section id="discussion">real</section>', '<h2 id="related-work">real</h2>', '<div class="ad-hoc">real</div>',
+    '<p class="notice">real</p>', '<h2 id="comments">real</h2>', '<div class="no-comments">real</div>',
+])
+def test_ordinary_names_inside_an_article_stay(part):
+    assert pages.blocks_of(f"<article><p>a</p>{part}<p>b</p></article>") == (["a", "real", "b"], True)
+
+
+@pytest.mark.parametrize("part", [
+    '<div class="ad">x</div>', '<div id="sidebar">x</div>', '<section class="related-posts">x</section>',
+    '<div class="commentList">x</div>', '<div role="search">x</div>', '<section id="comments"><article>x</article></section>',
+])
+def test_boilerplate_inside_and_behind_an_article_goes(part):
+    assert pages.blocks_of(f"<article><p>a</p>{part}<p>b</p></article>") == (["a", "b"], True)
+    assert pages.blocks_of(f"<article>a</article>{part}") == (["a"], True)
+
+
+def test_names_on_pages_without_an_article():
+    page = '<div class="has-sidebar"><p>a <span class="ad">x</span>b</p><div class="top-menu">x</div></div>'
+    assert pages.blocks_of(page) == (["a b"], False)
+
+
 @pytest.mark.parametrize("html", [None, "", "<", "<a", "<p", "</", "<!--", "<script>", "&#", "<p " + "'" * 50, "<div>" * 3000])
 def test_broken_html_has_no_text(spark, html):
     texts = {r[1] for r in extracted(spark, [(1, None, html)])}
