@@ -4,8 +4,8 @@ A word is the mean of the vectors of its character n-grams (bytes of its UTF-8 f
 marks at both ends); a text is the mean of its words, a linear softmax on top. Misspelt or
 unseen words share n-gram vectors with the words they come from. Vectors and softmax are
 fitted together by momentum descent on the cross-entropy, on the driver, on a bounded sample of
-labelled rows (SAMPLE_ROWS per label, SAMPLE_BYTES of text). The share of each label in
-all labelled rows sets the prior.
+labelled rows (SAMPLE_ROWS per label, SAMPLE_BYTES of text; a label of long texts is thinned
+alone and keeps LEAST_ROWS). The share of each label in all labelled rows sets the prior.
 
 Once fitted, the model is linear per n-gram bucket, so a text's score needs one number per
 word; each worker keeps those of words it has met.
@@ -34,6 +34,7 @@ from orderlens.llm.words import by_length, short_words
 
 SAMPLE_ROWS = 2_000
 SAMPLE_BYTES = 8 << 20
+LEAST_ROWS = 200
 FOLDS, HELD_FOLD = 4, 2
 THRESHOLD = 0.3
 BUCKETS = 1 << 16
@@ -172,7 +173,9 @@ class Scorer:
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
                     most_bytes: int = SAMPLE_BYTES) -> tuple[list, dict[int, int]]:
     """A bounded sample (text, toxic) of the learnable rows and the count of each label
-    among all of them. Rows are chosen by a hash of the id, at a rate per label."""
+    among all of them. Rows are chosen by a hash of the id, at a rate per label. A label whose
+    texts exceed its share of the bytes, half of them and what the other leaves, is thinned
+    alone, and keeps its LEAST_ROWS shortest rows."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(
         F.max((F.col("toxic") == 1).cast("int")).alias("label")
     ).where(~held_out("doc_id", FOLDS, HELD_FOLD))
@@ -182,10 +185,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
     chosen = known.where(place < rate).select(F.col("doc_id").alias("_id"), "label")
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
     picked = written(picked.select("_id", "label", "text"), "toxic-sample")
-    size = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > most_bytes:
-        picked = picked.where(F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(1 << 20)) < int((1 << 20) * most_bytes / size))
-    return [(r.text, r.label) for r in picked.orderBy("_id", "text").collect()], counts
+    length = F.coalesce(F.octet_length("text"), F.lit(0))
+    sizes = {r[0]: r[1] for r in picked.groupBy("label").agg(F.sum(length)).collect()}
+    sample: list = []
+    for label, size in sorted(sizes.items()):
+        share = most_bytes - min(sizes.get(1 - label, 0), most_bytes // 2)
+        own = picked.where(F.col("label") == label)
+        if size <= share:
+            sample += own.collect()
+            continue
+        thinned = own.where(F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(1 << 20)) < int((1 << 20) * share / size))
+        short = own.orderBy(length, "_id", "text").limit(LEAST_ROWS)
+        sample += (Counter(thinned.collect()) | Counter(short.collect())).elements()
+    sample.sort(key=lambda r: (r._id, r.text or ""))
+    return [(r.text, r.label) for r in sample], counts
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:

@@ -95,6 +95,18 @@ def test_misspelt_words_share_vectors():
     assert scores[0] < 0.3 and scores[1] > 0.7 and scores[2] == scores[3]
 
 
+def test_long_texts_of_one_label_thin_that_label_alone(spark):
+    held = {i for i in range(900) if zlib.crc32(str(i).encode()) % 4 == 2}
+    rows = [(i, "calm words " * (20_000 if i < 20 else 3), 0) for i in range(600)] + [(i, "idiot clown", 1) for i in range(600, 620)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    sample, counts = toxicity.labelled_sample(docs, labels, most_bytes=100_000)
+    assert counts == {y: sum(r[2] == y and r[0] not in held for r in rows) for y in (0, 1)}
+    assert sum(y for _, y in sample) == counts[1]
+    calm = sum(y == 0 and len(t) < 100 for t, y in sample)
+    assert toxicity.LEAST_ROWS <= calm <= counts[0]
+
+
 def test_toxicity_of_odd_rows(odd, nothing, labels):
     assert toxicity.score_documents(odd, labels).count() == 16
     assert toxicity.score_documents(nothing, labels).collect() == []
