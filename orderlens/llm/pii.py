@@ -2,7 +2,8 @@
 
 A regular expression per kind proposes spans, a validator confirms them (Luhn for cards,
 mod-97 for bank accounts, ranges for the rest), and context words shortly before a span
-(in the last CONTEXT_CHARS code points since the span of its kind before it) raise its score. Base kinds count when their rule holds, whatever the score; the added
+(in the last CONTEXT_CHARS code points since the span of its kind before it, or whatever stood
+there for a kind that needs context to count) raise its score. Base kinds count when their rule holds, whatever the score; the added
 kinds count from THRESHOLD on.
 
 Proposals never overlap within a kind and are not retried when their check fails. The
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 THRESHOLD = 0.5
 CONTEXT_CHARS = 40
 _CHUNK = 64
+# A span that needs context has 11 characters or more.
+_EARLIER = CONTEXT_CHARS // 11 + 1
 
 
 @dataclass(frozen=True)
@@ -80,6 +83,19 @@ def _issued(text: Column) -> Column:
     return ~never & (F.substring(text, 5, 2) != "00") & (F.substring(text, 8, 4) != "0000")
 
 
+# Length of an account number by country, from the public registry.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV",
+    22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST",
+    26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA",
+    30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+# The country's length where it ends there, else the longest run.
+_IBAN = "|".join(
+    [rf"(?:{c})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, c in _IBAN_LENGTHS.items()]
+    + [r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"]
+)
+
 KINDS = (
     Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
          lambda s: F.lit(True), 0.9, "mail|contact|write", 0.1, True),
@@ -89,7 +105,7 @@ KINDS = (
          _luhn, 0.8, "card|credit|visa|payment|karte|tarjeta|carte", 0.2, True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]",
          lambda s: F.length(_digits(s)).between(10, 15), 0.7, "phone|call|tel|mobile|fax", 0.2, True),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    Kind("iban", rf"(?<![A-Za-z0-9])(?:{_IBAN})",
          _mod_97, 0.9, "iban|account|bank|konto|cuenta|compte", 0.1, False),
     Kind("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
          _issued, 0.3, "ssn|social security|tax id", 0.5, False),
@@ -137,7 +153,13 @@ def _spans(kind: Kind, number: int, pieces: Column, matches: Column) -> Column:
         before = F.lower(F.substring(piece, -CONTEXT_CHARS, CONTEXT_CHARS))
         return F.struct(start.alias("start"), before.alias("before"))
 
-    places = F.zip_with(_starts(pieces, matches), F.slice(pieces, 1, F.size(matches)), near)
+    befores = F.slice(pieces, 1, F.size(matches))
+    if not kind.base and kind.score < THRESHOLD:
+        # With the matches and pieces before it; enough of them to fill the context.
+        both = F.zip_with(F.concat(F.array(F.lit("")), matches), pieces, lambda m, p: F.concat(m, p))
+        befores = _let(both, lambda b: F.transform(F.slice(b, 1, F.size(matches)), lambda _, i: F.array_join(
+            F.slice(b, F.greatest(i - _EARLIER, F.lit(0)) + 1, F.least(i, F.lit(_EARLIER)) + 1), "")))
+    places = F.zip_with(_starts(pieces, matches), befores, near)
     kept = F.filter(F.zip_with(matches, places, span), lambda s: s["ok"] & (F.lit(kind.base) | (s["score"] >= THRESHOLD)))
     return F.when(F.size(matches) > 0, kept).otherwise(F.array().cast(SPAN))
 

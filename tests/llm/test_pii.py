@@ -71,6 +71,18 @@ def test_added_kinds_and_context(spark):
     assert rows[0].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_numbers_in_a_row_and_words_behind_an_account(spark):
+    texts = [
+        "SSN: 123-45-6789, 234-56-7890", "ssn 123-45-6789 234-56-7890 345-67-8901 456-78-9012 567-89-0123",
+        "GB82 WEST 1234 5698 7654 32 BIC WESTGB22", "DE89370400440532013000 2024 x", "GB82 WEST 1234 5698 7654 32 A",
+    ]
+    rows = {r.doc_id: r for r in pii.digest(pii.find_pii(frame(spark, texts))).collect()}
+    kinds = [[s for s in rows[i].spans.split(",") if s[:4] in ("ssn:", "iban")] for i in range(5)]
+    assert kinds[0] == ["ssn:5:16", "ssn:18:29"]
+    assert kinds[1] == ["ssn:4:15", "ssn:16:27", "ssn:28:39", "ssn:40:51"]
+    assert kinds[2:] == [["iban:0:27"], ["iban:0:22"], ["iban:0:27"]]
+
+
 def test_masking(spark):
     found = pii.find_pii(frame(spark, ["mail a@b.co or 10.0.0.1 now", "clean", None]))
     assert [r.text for r in pii.masked(found).orderBy("doc_id").collect()] == ["mail [email] or [ip] now", "clean", ""]
