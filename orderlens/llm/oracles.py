@@ -67,3 +67,43 @@ SELECT page_id, payload_bytes,
        CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM d
 """
+
+
+def _code_rounds(rounds: int) -> str:
+    """Assignment and averaging, spelled out once per round; the last assignment is `near`."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""near{i} AS (
+    SELECT r, p, any_value(x) AS x, min({{d: list_sum(list_transform(x, lambda v, k: (v - c[k]) * (v - c[k])))::BIGINT, e: e}}) AS m
+    FROM parts JOIN book{i} USING (p) GROUP BY r, p
+)""")
+        if i < rounds:
+            steps.append(f"""mean{i} AS (
+    SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY k) AS c FROM (
+        SELECT p, m.e AS e, k, sum(x[k])::BIGINT AS s, count(*) AS n
+        FROM (SELECT *, unnest(range(1, len(x) + 1)) AS k FROM near{i}) GROUP BY p, m.e, k
+    ) GROUP BY p, e
+), book{i + 1} AS (
+    SELECT p, e, coalesce(mean{i}.c, book{i}.c) AS c FROM book{i} LEFT JOIN mean{i} USING (p, e)
+)""")
+    return ", ".join(steps)
+
+
+ORACLES["op11_codes"] = f"""
+WITH kept AS (
+    SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS r, vec_id, label,
+           list_transform(embedding, lambda x: floor(256 * x)::BIGINT) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (
+    SELECT r, p, list_slice(v, p * (len(v) // 16) + 1, (p + 1) * (len(v) // 16)) AS x FROM kept, range(16) AS t(p)
+), book0 AS (
+    SELECT p, r AS e, x AS c FROM parts WHERE r < 64
+), {_code_rounds(2)}, coded AS (
+    SELECT r, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM near2 GROUP BY r
+), digest AS (
+    SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book2
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (r), digest
+"""
