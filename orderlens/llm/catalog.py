@@ -17,6 +17,7 @@ from orderlens.llm import (
     pii,
     simhash,
     toxicity,
+    turns,
     warc,
 )
 from orderlens.llm.common import table
@@ -67,6 +68,10 @@ def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.encode_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,6 +90,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_simhash": op10_simhash,
     "op11_codes": op11_codes,
+    "op13_turns": op13_turns,
     "pipeline": pipeline,
 }
 

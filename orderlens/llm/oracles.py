@@ -107,3 +107,81 @@ WITH kept AS (
 SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
 FROM kept JOIN coded USING (r), digest
 """
+
+
+# Places as in turns.py: s0 nothing yet, s1 after system, s2 after user, s3 after assistant.
+def _edits(place: int, free: int, role: str, kept: list[tuple[str, int]]) -> str:
+    """The cheapest of deleting, changing and keeping a row in one place."""
+    line = lambda name, rest: f"{name} || ':' || text || CASE WHEN {rest} = '' THEN '' ELSE chr(10) || {rest} END"
+    options = [f"{{c: s{place}.c + 4, a: 'D' || s{place}.a, r: s{place}.r}}"]
+    options.append(
+        f"CASE WHEN stays THEN {{c: s{free}.c + 3 + extra, a: 'R' || s{free}.a, r: {line(repr(role), f's{free}.r')}}} END"
+    )
+    for initial, to in kept:
+        options.append(
+            f"CASE WHEN stays AND role[1] = '{initial}' THEN "
+            f"{{c: s{to}.c + extra, a: 'K' || s{to}.a, r: {line('role', f's{to}.r')}}} END"
+        )
+    return f"list_min([{', '.join(options)}])"
+
+
+def _inserted(other: str, role: str) -> str:
+    return (f"{{c: {other}.c + 3, a: 'I' || {other}.a, "
+            f"r: '{role}:' || CASE WHEN {other}.r = '' THEN '' ELSE chr(10) || {other}.r END}}")
+
+
+ORACLES["op13_turns"] = rf"""
+WITH RECURSIVE named AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(
+               [4294967295] || flatten(list_transform(
+                   string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+                   lambda ch: [ascii(ch)::BIGINT + 1, 0, 0, 0, 0, 0, 0, 0, 0])),
+               lambda c, x: CASE WHEN x > 0 THEN xor(c, x - 1) ELSE xor(c >> 1, (c & 1) * 3988292384) END
+           ), 4294967295) % 20 AS kind
+    FROM conversations
+), damaged AS (
+    SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+           CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM named, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS t(copy)
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, nth) AS i,
+           right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) AS e
+    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM damaged)
+), rows AS (
+    SELECT conv_id, turn, role, text, i, e = '' AS blank, e <> '' AND nth > 1 AS duplicate,
+           e <> '' AND nth = 1 AND e NOT IN ('.', '!', '?') AS truncated, e <> '' AND nth = 1 AS stays,
+           CASE WHEN e NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS extra,
+           i > 1 AND (lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i)) || role[1] NOT IN ('su', 'ua', 'au') AS illegal
+    FROM placed
+), counts AS (
+    SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+           count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+           count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal
+    FROM rows GROUP BY conv_id
+), ends AS (
+    SELECT DISTINCT c.conv_id, coalesce(n, 0) AS n, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank,
+           coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal
+    FROM conversations c LEFT JOIN counts ON c.conv_id IS NOT DISTINCT FROM counts.conv_id
+), walk AS (
+    SELECT conv_id, n + 1 AS i, {{c: 0, a: '', r: ''}} AS s0, {{c: 6, a: 'II', r: 'user:' || chr(10) || 'assistant:'}} AS s1,
+           {{c: 3, a: 'I', r: 'assistant:'}} AS s2, {{c: 0, a: '', r: ''}} AS s3
+    FROM ends
+    UNION ALL
+    SELECT conv_id, i, list_min([b0, {_inserted('s2', 'user')}]), list_min([b1, {_inserted('s2', 'user')}]), s2,
+           list_min([b3, {_inserted('b2', 'user')}])
+    FROM (
+        SELECT *, list_min([b2, {_inserted('b3', 'assistant')}]) AS s2
+        FROM (
+            SELECT walk.conv_id, rows.i AS i,
+                   {_edits(0, 2, 'user', [('s', 1), ('u', 2)])} AS b0,
+                   {_edits(1, 2, 'user', [('u', 2)])} AS b1,
+                   {_edits(2, 3, 'assistant', [('a', 3)])} AS b2,
+                   {_edits(3, 2, 'user', [('u', 2)])} AS b3
+            FROM walk JOIN rows ON rows.conv_id IS NOT DISTINCT FROM walk.conv_id AND rows.i = walk.i - 1
+        )
+    )
+)
+SELECT ends.conv_id, gaps, blank, duplicate, truncated, illegal, s0.c::BIGINT AS cost, s0.a AS audit,
+       sha256(s0.r) AS repaired_sha256
+FROM walk JOIN ends ON walk.conv_id IS NOT DISTINCT FROM ends.conv_id AND walk.i = 1
+"""
