@@ -15,6 +15,7 @@ from orderlens.llm import (
     packing,
     pages,
     pii,
+    routed,
     simhash,
     toxicity,
     turns,
@@ -68,6 +69,10 @@ def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.encode_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routed.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.repair_conversations(table(spark, sf_dir, "conversations"))
 
@@ -90,6 +95,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_simhash": op10_simhash,
     "op11_codes": op11_codes,
+    "op12_neighbours": op12_neighbours,
     "op13_turns": op13_turns,
     "pipeline": pipeline,
 }
