@@ -15,7 +15,7 @@ import sys
 import time
 
 from orderlens import catalog
-from orderlens.session import local_session
+from orderlens.session import READER_PARTITIONS, local_session
 
 HEADLINES = [
     "email_fact", "document_fact", "order_rollup", "complaints_by_order", "nearest_purchase",
@@ -33,6 +33,8 @@ def main() -> None:
     cores = os.environ.get("BENCH_CPUS", "8")
     spark = local_session("bench", cores=cores, shuffle_partitions=cores)
     spark.sparkContext.setLogLevel("ERROR")
+    # Each test table is one file of one row group.
+    spark.conf.set(READER_PARTITIONS, cores)
     seconds: dict[str, float] = {}
 
     def timed(name, action) -> None:

@@ -8,7 +8,11 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPACES = r"(?U)[\s\x1c-\x1f]+"
+# Unicode white space and the four separators, spelled out: a class of ranges is matched
+# several times faster than one under the flag for Unicode classes.
+_SPACES = (
+    r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+)
 
 
 def or_empty(value: Column) -> Column:
@@ -61,8 +65,17 @@ def collapsed(text: Column) -> Column:
 
 
 def preview(text: Column, length: int) -> Column:
-    """White space collapsed to single spaces, then the leading characters."""
-    return F.substring(collapsed(text), 1, length)
+    """White space collapsed to single spaces, then the leading characters.
+
+    What the head of the text collapses to is the head of the collapsed text, so the whole
+    text is only read where its head is not enough.
+    """
+    head = F.array(collapsed(F.substring(text, 1, 2 * length)))
+    short = lambda shown: (F.length(shown) < length) & (F.length(text) > 2 * length)
+    return F.transform(
+        head,
+        lambda shown: F.substring(F.when(short(shown), collapsed(text)).otherwise(shown), 1, length),
+    )[0]
 
 
 def document_summary(kind: Column, order_id: Column, customer_name: Column) -> Column:

@@ -29,6 +29,18 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Readers deal their rows over this many partitions when it is set, whatever the size of the
+# table: for files of few row groups, whose one task would otherwise parse everything. Unset
+# by default, as large tables have splits enough.
+READER_PARTITIONS = "orderlens.readers.partitions"
+
+
+def spread(df: DataFrame, partitions: int | str | None = None) -> DataFrame:
+    """Rows dealt by the hash of their first column, so that a retried task deals them alike."""
+    count = partitions or df.sparkSession.conf.get(READER_PARTITIONS, None)
+    return df.repartition(int(count), df.columns[0]) if count else df
+
+
 def local_session(app: str = "orderlens", cores: str = "*", **settings: str) -> SparkSession:
     """A session for tests, the benchmark and single-machine use."""
     builder = (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..constants import ALLOWED_DATABASE_TABLES
+from ..session import spread
 from .schemas import REQUIRED
 
 # --- Fixed values: logical name -> file below the raw folder ----------------
@@ -24,10 +25,15 @@ def raw_paths(root: str) -> dict[str, str]:
     return {name: f"{root.rstrip('/')}/{file}" for name, file in RAW_FILES.items()}
 
 
-def read_raw(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """One raw parquet table; of the order lines only the columns in use."""
+def read_raw(
+    spark: SparkSession, root: str, name: str, partitions: int | None = None
+) -> DataFrame:
+    """One raw parquet table; of the order lines only the columns in use.
+
+    partitions (or the session setting of the readers) deals the rows over so many tasks.
+    """
     df = spark.read.parquet(raw_paths(root)[name])
-    return df.select(*REQUIRED[name]) if name == "erp_transactions" else df
+    return spread(df.select(*REQUIRED[name]) if name == "erp_transactions" else df, partitions)
 
 
 def read_database_table(spark: SparkSession, table: str, **options: str) -> DataFrame:
@@ -44,10 +50,13 @@ def read_database_table(spark: SparkSession, table: str, **options: str) -> Data
 
 
 def read_all(
-    spark: SparkSession, root: str, database: dict[str, str] | None = None
+    spark: SparkSession,
+    root: str,
+    database: dict[str, str] | None = None,
+    partitions: int | None = None,
 ) -> dict[str, DataFrame]:
     """Every raw table as a lazy DataFrame; database tables when options are given."""
-    tables = {name: read_raw(spark, root, name) for name in RAW_FILES}
+    tables = {name: read_raw(spark, root, name, partitions) for name in RAW_FILES}
     if database:
         for table in ALLOWED_DATABASE_TABLES:
             tables[f"sqlite_{table}"] = read_database_table(spark, table, **database)
