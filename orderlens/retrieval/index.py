@@ -3,6 +3,13 @@
 Word and two-word terms, smoothed idf, L2-normed vectors. Identical corpus rows
 are kept once with their number of copies, so a heavily copied document costs one
 row while every count and rank still sees all copies.
+
+Rows are numbered in the order of their heaviest term and cut into blocks of BLOCK_ROWS
+numbers. A bound is the greatest weight of a term inside a block, the most it can add to any
+row there: a search reads the bounds first and the postings of few blocks afterwards.
+Documents lie in folders by the hash of their key, bounds and postings by the hash of their
+term, and vectors by the task that numbered them, so that a search opens only the folders it
+needs.
 """
 
 from __future__ import annotations
@@ -18,16 +25,35 @@ from ..plans.corpus import COLUMNS
 from ..sources.store import path_exists
 
 TOKEN = r"([\p{L}\p{N}_]{2,})"
+BLOCK_ROWS = 128
+BUCKETS = 32
+# Files a folder is spread over, so that a frequent term is no single task.
+FILES = 2
+# A row number holds the task that gave it above these bits.
+SHARD_BITS = 33
 
 
 @dataclass(frozen=True)
 class Index:
     """row_key identifies a distinct corpus row and sorts like its doc_id."""
 
-    docs: DataFrame  # row_key, copies and the corpus columns
+    docs: DataFrame  # row_key, copies, the corpus columns; folders by bucket of row_key
     vocabulary: DataFrame  # term, total, document_frequency, idf
-    vectors: DataFrame  # row_key, terms, weights
-    postings: DataFrame  # term, row_key, weight
+    vectors: DataFrame  # row_key, place, terms, weights; folders by shard of place
+    bounds: DataFrame  # term, block, bound; folders by bucket of term
+    postings: DataFrame  # term, place, weight; folders by bucket of term
+
+
+def bucket_of(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def shard_of(place: str) -> Column:
+    return F.shiftright(F.col(place), SHARD_BITS).cast("int")
+
+
+def block_of(place: str) -> Column:
+    return F.floor(F.col(place) / F.lit(BLOCK_ROWS))
 
 
 def default_stop_words() -> list[str]:
@@ -108,10 +134,40 @@ def vectors_of(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     )
 
 
+def numbered(vectors: DataFrame) -> DataFrame:
+    """Adds place and shard: the rows in the order of their heaviest term.
+
+    The ranges are drawn once, so a retried task numbers the same rows alike.
+    """
+    heaviest = F.array_position("weights", F.array_max("weights")).cast("int")
+    return (
+        vectors.withColumn("_lead", F.element_at("terms", heaviest))
+        .repartitionByRange("_lead", "row_key")
+        .sortWithinPartitions("_lead", "row_key")
+        .withColumn("place", F.monotonically_increasing_id())
+        .withColumn("shard", shard_of("place"))
+        .drop("_lead")
+    )
+
+
 def postings_of(vectors: DataFrame) -> DataFrame:
-    return vectors.select(
-        "row_key", F.inline(F.arrays_zip(F.col("terms"), F.col("weights")))
-    ).select(F.col("terms").alias("term"), "row_key", F.col("weights").alias("weight"))
+    """One row per term and row; a term of many rows is spread over several files."""
+    entries = vectors.select("place", F.inline(F.arrays_zip(F.col("terms"), F.col("weights"))))
+    spread = F.pmod(F.xxhash64(block_of("place")), F.lit(FILES)).cast("int")
+    return (
+        entries.select(
+            F.col("terms").alias("term"), "place", F.col("weights").alias("weight"),
+            bucket_of("terms").alias("bucket"),
+        )
+        .repartition("bucket", spread)
+        .sortWithinPartitions("bucket", "term", "place")
+    )
+
+
+def bounds_of(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("bucket", "term", block_of("place").alias("block")).agg(
+        F.max("weight").alias("bound")
+    )
 
 
 def build_index(
@@ -122,32 +178,31 @@ def build_index(
 ) -> Index:
     """Write the tables below path and return them as read back.
 
-    Texts are shuffled once, to find identical rows, and split into terms once; the
-    vocabulary, the vectors and, from them, the postings derive from these counts.
+    Texts are split into terms once; the vocabulary, the vectors and, from them, the
+    postings derive from these counts.
     """
     words = default_stop_words() if stop_words is None else list(stop_words)
     spark = corpus.sparkSession
 
-    def table(name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    def table(name: str, df: DataFrame, folders: str | None = None) -> DataFrame:
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(folders) if folders else writer).parquet(f"{path}/{name}")
         return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
-    docs = table("docs", distinct_rows(corpus))
+    file = F.pmod(F.xxhash64("row_key", F.lit(1)), F.lit(FILES))
+    rows = distinct_rows(corpus).withColumn("bucket", bucket_of("row_key"))
+    docs = table("docs", rows.repartition("bucket", file), "bucket")
     counts = table("terms", term_counts(docs, ["row_key", "copies"], words))
     vocabulary = table("vocabulary", vocabulary_of(docs, counts, size))
-    vectors = table("vectors", vectors_of(counts, vocabulary))
-    postings = table(
-        "postings",
-        postings_of(vectors)
-        .repartitionByRange("term", "row_key")
-        .sortWithinPartitions("term", "row_key"),
-    )
-    return Index(docs, vocabulary, vectors, postings)
+    vectors = table("vectors", numbered(vectors_of(counts, vocabulary)), "shard")
+    postings = table("postings", postings_of(vectors), "bucket")
+    bounds = table("bounds", bounds_of(postings).repartition("bucket"), "bucket")
+    return Index(docs, vocabulary, vectors, bounds, postings)
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
     read = lambda name: spark.read.parquet(f"{path}/{name}")
-    return Index(read("docs"), read("vocabulary"), read("vectors"), read("postings"))
+    return Index(*map(read, ["docs", "vocabulary", "vectors", "bounds", "postings"]))
 
 
 def corpus_fingerprint(corpus: DataFrame) -> str:
@@ -166,6 +221,6 @@ def reuse_or_build(
     """The index kept for this corpus, built when the corpus has changed."""
     spark = corpus.sparkSession
     path = f"{root.rstrip('/')}/index-{corpus_fingerprint(corpus)}"
-    if path_exists(spark, f"{path}/postings/_SUCCESS"):
+    if path_exists(spark, f"{path}/bounds/_SUCCESS"):
         return open_index(spark, path)
     return build_index(corpus, path, stop_words, size)

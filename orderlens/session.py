@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # All of these can be changed on a running session; sizes such as the number of
 # shuffle partitions stay with whoever runs the cluster (AQE coalesces them).
@@ -88,3 +89,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = new_work_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+# Rows of a few short columns that are broadcast after they were counted.
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A narrow table, broadcast if its counted rows are few; else a shuffle join is left to
+    meet it."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -8,11 +8,14 @@ import pytest
 
 from orderlens.plans.corpus import COLUMNS
 from orderlens.retrieval.index import (
-    build_index, corpus_fingerprint, default_stop_words, reuse_or_build,
+    bucket_of, build_index, corpus_fingerprint, default_stop_words, reuse_or_build,
+)
+from orderlens.retrieval.search import (
+    block_reach, block_scores, candidates, in_folders, one_per_entity, pick_diverse, query_weights,
+    retrieve, retrieve_one,
 )
-from orderlens.retrieval.search import candidates, one_per_entity, pick_diverse, retrieve, retrieve_one
 from orderlens.retrieval.summary import NOTHING_FOUND, answer
-from orderlens.session import new_work_dir
+from orderlens.session import new_work_dir, written
 from orderlens.sources.store import path_exists
 
 STOP = ["about", "for", "and"]
@@ -147,11 +150,72 @@ def test_one_per_entity(spark):
     assert sorted(r["score"] for r in one_per_entity(df).collect()) == [0.3, 0.8, 0.9]
 
 
-def test_pick_diverse_count():
-    import numpy as np
+def test_pick_diverse(spark):
+    alike = [[1.0] * 5] * 5
+    apart = [[float(i == j) for j in range(4)] for i in range(4)]
+    df = spark.createDataFrame(
+        [("same", [(s, a) for s, a in zip([0.9, 0.8, 0.7, 0.6, 0.5], alike)]),
+         ("apart", [(s, a) for s, a in zip([0.5, 0.5, 0.1, 0.4], apart)]), ("one", [(0.0, [1.0])]), ("none", [])],
+        "name string, rows array<struct<score: double, alike: array<double>>>",
+    )
+    got = {r["name"]: r["p"] for r in df.where("size(rows) > 0").select("name", pick_diverse("rows", 3, 0.7).alias("p")).collect()}
+    assert got == {"same": [0, 1, 2], "apart": [0, 1, 3], "one": [0]}
+
+
+def many_rows(n=900):
+    words = [f"w{i}" for i in range(60)]
+    made = []
+    for i in range(n):
+        topic = i % 12
+        text = " ".join(words[(topic * 5 + (i * k) % 7) % 60] for k in range(1, 12)) + f" tag{i % 50}"
+        made.append({**rows()[0], "doc_id": f"d{i:04d}", "text": text, "order_id": f"{i % 3:010d}", "customer_id": f"C{i % 9}"})
+    return made
+
+
+def test_pruned_search_loses_nothing(spark, monkeypatch):
+    """Many small blocks: most are never scored, and the best rows are those of brute force."""
+    from orderlens.retrieval import index as module
+    from orderlens.retrieval import search
 
-    vector = (np.array([1]), np.array([1.0]))
-    assert pick_diverse(np.array([0.9, 0.8, 0.7, 0.6, 0.5]), [vector] * 5, 3, 0.7) == [0, 1, 2]
+    monkeypatch.setattr(module, "BLOCK_ROWS", 8)
+    made = many_rows()
+    ix = build_index(corpus_of(spark, made), new_work_dir(spark, "blocks"), STOP)
+    blocks = ix.bounds.select("block").distinct().count()
+    assert blocks >= 100
+    questions = ["w3 w4 tag7", "w10 w15 w20 w25", "tag1", "w0 w1 w2 w3 w4 w5", "w5 w6 0000000001", "w59 zzz"]
+    asked = spark.createDataFrame([(str(i), q) for i, q in enumerate(questions)], "query_id string, query string")
+    scored = []
+    plain = search.block_scores
+    monkeypatch.setattr(search, "block_scores", lambda blocks, *rest: scored.append(blocks) or plain(blocks, *rest))
+    pool = candidates(asked, ix, STOP, 10).collect()
+    assert sum(b.count() for b in scored) < 0.8 * blocks * len(questions)
+    vectors, vector = model(made)
+    for i, question in enumerate(questions):
+        q = vector(terms(question))
+        inside = [n for n, r in enumerate(made) if "0000000001" not in question or r["order_id"] == "0000000001"]
+        score = {n: round(sum(w * vectors[n].get(t, 0.0) for t, w in q.items()), 9) for n in inside}
+        want = sorted(inside, key=lambda n: (-score[n], made[n]["doc_id"]))[:10]
+        got = sorted((r for r in pool if r["query_id"] == str(i)), key=lambda r: r["position"])
+        assert [r["doc_id"] for r in got] == [made[n]["doc_id"] for n in want], question
+        assert all(abs(r["score"] - score[n]) < 2e-9 for r, n in zip(got, want))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_search_reads_few_folders_and_shuffles_no_row_pairs(spark, index):
+    asked = spark.createDataFrame([("q", "credit memo")], "query_id string, query string")
+    words = written(query_weights(asked, index, STOP), "asked")
+    postings = in_folders(index.postings, "bucket", words, bucket_of("term"))
+    reach = block_reach(words, in_folders(index.bounds, "bucket", words, bucket_of("term")))
+    scores = block_scores(reach.select("query_id", "block"), words, postings)
+    plan = plan_of(scores)
+    assert "PartitionFilters: [bucket" in plan
+    assert not re.search(r"Exchange hashpartitioning\([^)]*place", plan)
+    found = plan_of(candidates(asked, index, STOP, 5))
+    assert "PartitionFilters: [bucket" in found
+    assert "Python" not in plan_of(retrieve(asked, index, stop_words=STOP))
 
 
 def test_index_is_reused_until_the_corpus_changes(spark):
