@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bindings as b
-from .constants import TARGETS
+from .constants import CATEGORICAL_FEATURES, NUMERIC_FEATURES, TARGETS
 from .functions import ids, numbers, text, time
-from .operators import curves
+from .operators import curves, exact
 from .operators.nearest import HOUR_MICROS, nearest_in_time
 from .operators.running import time_ranked, value_at_quantile
 from .pipeline import build_tables
@@ -24,8 +24,8 @@ from .plans.risk_features import order_risk_features
 from .retrieval.index import Index, build_index, distinct_rows, term_counts, vocabulary_of
 from .retrieval.search import candidates, retrieve
 from .retrieval.summary import answer
-from .risk import models, splits
-from .session import ensure_checkpoint_dir, new_work_dir, written
+from .risk import models, splits, train
+from .session import ensure_checkpoint_dir, new_work_dir
 from .sources.raw import file_listing, fingerprint
 from .sources.store import Store
 
@@ -546,51 +546,125 @@ QUERIES.update(
 )
 
 
-# --- Risk: fits over the whole feature table (checked by rows only) ----------
+# --- Risk: one training run over all targets ---------------------------------
 
-RISK_OPTIONS = models.Options()
-RISK_TARGET = "will_be_delayed"
+# The library's default is 250 rounds of boosting; the registered run takes fewer, since every
+# round of every fit is a handful of Spark jobs whatever the number of rows.
+RUN_OPTIONS = models.Options(boosting_rounds=20)
 
-_frames: dict[tuple[str, str], DataFrame] = {}
+_runs: dict[tuple[str, str], tuple[train.RiskModels, train.Run]] = {}
 
 
-def _model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+def training_run(spark: SparkSession, sf_dir: str) -> tuple[train.RiskModels, train.Run]:
+    """The run over all three targets and its saved outputs, once per session and folder."""
     place = (spark.sparkContext.applicationId, sf_dir)
-    if place not in _frames:
+    if place not in _runs:
+        ensure_checkpoint_dir(spark)
         features = built(spark, sf_dir)["fact_order_risk_features"]
-        _frames[place] = written(splits.model_frame(features), "model-frame")
-    return _frames[place]
+        kept = train.RiskModels(spark, new_work_dir(spark, "models"), RUN_OPTIONS)
+        kept.train(lambda: features)
+        _runs[place] = kept, kept.run
+    return _runs[place]
 
 
-def _time_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    ensure_checkpoint_dir(spark)
-    frame = _model_frame(spark, sf_dir)
-    early = splits.is_train_by_time(frame)
-    return frame.where(early), frame.where(~early)
+def _named(evaluated: DataFrame) -> DataFrame:
+    part = lambda i: F.split_part("key", F.lit("|"), F.lit(i))
+    return evaluated.select(
+        part(1).alias("target"), part(2).alias("model"), "order_id", "label",
+        F.col("score").between(0, 1).alias("is_probability"),
+    )
 
 
 def candidate_scores(spark, sf):
-    """Both candidate models on the later orders."""
-    train, test = _time_sides(spark, sf)
-    fitted = models.fit_candidates(
-        train, RISK_TARGET, [models.LOGISTIC, models.BOOSTING], RISK_OPTIONS
-    )
-    scored = [
-        models.probability(
-            model, test, ["order_id", F.lit(kind).alias("model"), F.col(RISK_TARGET).alias("label")]
-        )
-        for kind, model in fitted.items()
-    ]
-    return scored[0].unionByName(scored[1])
+    """Both candidates of every target on its test orders."""
+    return _named(training_run(spark, sf)[1].evaluated).where(F.col("model") != train.CALIBRATED)
 
 
 def calibrated_scores(spark, sf):
-    """The mean of three isotonic-calibrated fold models on the later orders."""
-    train, test = _time_sides(spark, sf)
-    fitted = models.fit_calibrated(train, RISK_TARGET, models.LOGISTIC, RISK_OPTIONS)
-    return models.calibrated_score(
-        fitted, test, ["order_id", F.col(RISK_TARGET).alias("label")]
+    """The selected model of every target, calibrated, on its test orders."""
+    return _named(training_run(spark, sf)[1].evaluated).where(F.col("model") == train.CALIBRATED)
+
+
+def training_scores(spark, sf):
+    """The score table: later orders, and whether score, threshold and prediction agree."""
+    kept, _ = training_run(spark, sf)
+    record = kept.metrics()["targets"]
+    columns = []
+    for t in TARGETS:
+        score, found = F.col(f"{t}_score"), F.col(f"{t}_prediction")
+        cut = record[t].get("optimal_threshold")
+        hit = (score >= cut).cast("int") if cut is not None else F.lit(0)
+        columns.append((score.between(0, 1) & (found == hit)).alias(f"{t}_agrees"))
+    return presented(kept.scores().select("order_id", "customer_id_clean", "order_created_at", *columns))
+
+
+def training_record(spark, sf):
+    """Per target: rows of both sides, and the share of positives among the test rows."""
+    kept, _ = training_run(spark, sf)
+    return presented(
+        kept.targets().select(
+            "target", "status", "train_rows", "test_rows", "positive_rate", "windows",
+            F.col("threshold").between(0, 1).alias("threshold_in_range"),
+        ),
+        6,
+    )
+
+
+def cross_validation(spark, sf):
+    """Expanding windows by time: rows, positives, and whether the ranking was measured."""
+    found = training_run(spark, sf)[1].windows
+    return presented(
+        found.select(
+            "target", "window", "train_rows", "test_rows", "positive_rate",
+            F.col("roc_auc").between(0, 1).alias("measured"),
+        ),
+        6,
     )
 
 
-QUERIES.update({"candidate_scores": candidate_scores, "calibrated_scores": calibrated_scores})
+def governance(spark, sf):
+    """Per target of the last run: whether it has a model, and how many targets have one."""
+    kept, _ = training_run(spark, sf)
+    return kept.governance().select(
+        "target", "status", "train_rows", F.col("folds").cast("long").alias("folds"),
+        F.col("targets_trained").cast("long").alias("targets_trained"),
+        (F.col("selected_model").isin(models.LOGISTIC, models.BOOSTING)).alias("has_model"),
+    )
+
+
+def feature_ranking(spark, sf):
+    """The features of every target's selected model, the leading ones first."""
+    kept, _ = training_run(spark, sf)
+    return kept.feature_importance(len(models.FEATURE_NAMES)).select("target", "feature")
+
+
+def run_history(spark, sf):
+    """All runs, joined to the targets of each."""
+    kept, _ = training_run(spark, sf)
+    return kept.history().select("train_rows", "test_rows", "targets_trained", "is_last")
+
+
+def feature_medians(spark, sf):
+    features = built(spark, sf)["fact_order_risk_features"]
+    return presented(exact.medians(features, NUMERIC_FEATURES), 6)
+
+
+def feature_codes(spark, sf):
+    features = built(spark, sf)["fact_order_risk_features"]
+    return exact.ordinal_codes(features, CATEGORICAL_FEATURES)
+
+
+QUERIES.update(
+    {
+        "candidate_scores": candidate_scores,
+        "calibrated_scores": calibrated_scores,
+        "training_scores": training_scores,
+        "training_record": training_record,
+        "cross_validation": cross_validation,
+        "governance": governance,
+        "feature_ranking": feature_ranking,
+        "run_history": run_history,
+        "feature_medians": feature_medians,
+        "feature_codes": feature_codes,
+    }
+)

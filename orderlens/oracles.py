@@ -7,7 +7,9 @@ plain way: all pairs in reach, best one per mail.
 
 from __future__ import annotations
 
-from .constants import COMPLAINT_KEYWORDS, SPAM_KEYWORDS, TARGETS, THEME_KEYWORDS
+from .constants import (
+    CATEGORICAL_FEATURES, COMPLAINT_KEYWORDS, NUMERIC_FEATURES, SPAM_KEYWORDS, TARGETS, THEME_KEYWORDS,
+)
 
 _SPACE = r"[\s\v\x{1c}-\x{1f}\x{85}\p{Z}]+"
 _WORD = r"\p{L}\p{N}_"
@@ -1029,3 +1031,92 @@ ORACLES.update(
         FROM fact_order"""),
     }
 )
+
+
+# --- Risk: the training run over all targets ---------------------------------
+
+CTES["dated"] = """
+    SELECT *, epoch_us(order_created_at) <= cutoff AS early,
+           row_number() OVER (ORDER BY order_created_at, sha1(order_id)) - 1 AS time_rank,
+           count(*) OVER () AS n
+    FROM fact_order, (SELECT quantile_cont(epoch_us(order_created_at)::double, 0.8) AS cutoff
+                      FROM fact_order WHERE order_id IS NOT NULL) q
+    WHERE order_created_at IS NOT NULL AND order_id IS NOT NULL"""
+CTES["dated_targets"] = " UNION ALL ".join(
+    f"SELECT order_id, '{t}' AS target, {t}::int AS label, early, time_rank, n FROM dated" for t in TARGETS
+)
+# Split by time, or by class where one side of it lacks a class.
+CTES["dated_labels"] = """
+    SELECT *, CASE WHEN early_low <> early_high AND late_low <> late_high THEN NOT early
+                   ELSE place <= round(of_class * 0.2) END AS test
+    FROM (SELECT *, min(label) FILTER (early) OVER t AS early_low, max(label) FILTER (early) OVER t AS early_high,
+                 min(label) FILTER (NOT early) OVER t AS late_low, max(label) FILTER (NOT early) OVER t AS late_high,
+                 row_number() OVER (PARTITION BY target, label ORDER BY sha1('42|' || order_id)) AS place,
+                 count(*) OVER (PARTITION BY target, label) AS of_class
+          FROM dated_targets WINDOW t AS (PARTITION BY target)) s"""
+# The windows of five folds whose both sides hold both classes.
+CTES["dated_windows"] = """
+    SELECT target, i::int AS "window", any_value(n // 6) * (i + 1) AS train_rows,
+           count(*) FILTER (time_rank >= n // 6 * (i + 1)) AS test_rows,
+           avg(label) FILTER (time_rank >= n // 6 * (i + 1)) AS positive_rate
+    FROM dated_labels, range(5) AS t(i)
+    WHERE n // 6 >= 50 AND time_rank < n // 6 * (i + 2)
+    GROUP BY target, i
+    HAVING count(DISTINCT label) FILTER (time_rank >= n // 6 * (i + 1)) = 2
+       AND count(DISTINCT label) FILTER (time_rank < n // 6 * (i + 1)) = 2"""
+CTES["dated_sides"] = """
+    SELECT target, count(*) FILTER (early) AS train_rows, count(*) FILTER (NOT early) AS test_rows,
+           avg(label) FILTER (test) AS positive_rate,
+           (SELECT count(*) FROM dated_windows w WHERE w.target = l.target) AS windows
+    FROM dated_labels l GROUP BY target"""
+CTES["risk_numbers"] = """
+    SELECT order_line_count, product_nunique, plant_nunique, shipping_point_nunique,
+           f.order_year, f.order_month_num, f.order_quarter,
+           ln(1 + customer_prior_orders) AS customer_prior_orders_log,
+           coalesce(pc / nullif(customer_prior_orders, 0), 0.0) AS customer_prior_will_generate_complaint_rate,
+           coalesce(pd / nullif(customer_prior_orders, 0), 0.0) AS customer_prior_will_be_delayed_rate,
+           coalesce(pm / nullif(customer_prior_orders, 0), 0.0) AS customer_prior_will_generate_credit_memo_rate,
+           plant_prior_orders, coalesce(pp / nullif(plant_prior_orders, 0), 0.0) AS plant_prior_delay_rate,
+           f.primary_plant, f.primary_product_family
+    FROM (SELECT order_id, order_year, order_month_num, order_quarter, customer_prior_orders, pc, pd, pm,
+                 plant_prior_orders, pp, primary_plant, primary_product_family FROM features) f
+    JOIN (SELECT order_id, order_line_count, product_nunique, plant_nunique, shipping_point_nunique
+          FROM fact_order) o ON f.order_id IS NOT DISTINCT FROM o.order_id"""
+
+_FEATURES = [f"num__{n}" for n in NUMERIC_FEATURES] + [f"cat__{n}" for n in CATEGORICAL_FEATURES]
+
+ORACLES.update(
+    {
+        "candidate_scores": star("""
+        SELECT target, model, order_id, label, true AS is_probability
+        FROM dated_labels, (VALUES ('logistic_regression'), ('hist_gradient_boosting')) m(model)
+        WHERE test"""),
+        "calibrated_scores": star("""
+        SELECT target, 'calibrated' AS model, order_id, label, true AS is_probability
+        FROM dated_labels WHERE test"""),
+        "training_scores": star(f"""
+        SELECT order_id, customer_id_clean, {_at('order_created_at')} AS order_created_at,
+               {', '.join(f'true AS {t}_agrees' for t in TARGETS)}
+        FROM dated WHERE NOT early"""),
+        "training_record": star("""
+        SELECT target, 'trained' AS status, train_rows, test_rows, round(positive_rate, 6) AS positive_rate,
+               windows, true AS threshold_in_range FROM dated_sides"""),
+        "cross_validation": star("""
+        SELECT target, "window", train_rows, test_rows, round(positive_rate, 6) AS positive_rate,
+               true AS measured FROM dated_windows"""),
+        "governance": star("""
+        SELECT target, 'trained' AS status, train_rows, windows AS folds, 3::bigint AS targets_trained,
+               true AS has_model FROM dated_sides"""),
+        "feature_ranking": star(f"""
+        SELECT target, unnest({_FEATURES}) AS feature FROM dated_sides"""),
+        "run_history": star("""
+        SELECT any_value(train_rows) AS train_rows, any_value(test_rows) AS test_rows,
+               count(*) AS targets_trained, true AS is_last FROM dated_sides"""),
+        "feature_medians": star(" UNION ALL ".join(
+            f"SELECT '{n}' AS name, round(median({n})::double, 6) AS median FROM risk_numbers"
+            for n in NUMERIC_FEATURES)),
+        "feature_codes": star(" UNION ALL ".join(
+            f"SELECT '{n}' AS name, {n} AS label, count(*) AS n, row_number() OVER (ORDER BY {n}) - 1 AS code "
+            f"FROM risk_numbers WHERE {n} IS NOT NULL GROUP BY {n}" for n in CATEGORICAL_FEATURES)),
+    }
+)
