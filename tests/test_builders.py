@@ -16,66 +16,76 @@ def by(df, key):
 
 
 def test_email_fact(raw, built):
-    mails = built["fact_email"]
-    rows = by(mails, "message_id")
-    assert len(rows) == 28
-    at = lambda i: rows[f"<msg{i:04d}@example.com>"]
-    assert [i for i in range(28) if at(i)["is_complaint_like"]] == [0, 5, 10, 15, 20, 25]
-    scopes = [at(i)["message_scope"] for i in range(28)]
-    assert scopes.count("external_inbound") == 10 and scopes.count("external_outbound") == 18
-    assert [at(i)["linked_order_id"] for i in (0, 9, 10)] == ["0000010000", "0000010009", None]
-    assert at(3)["event_date"] == "2023-06-04" and not at(3)["is_duplicate_source_id"]
+    rows = {k[1:3]: r for k, r in by(built["fact_email"], "message_id").items()}
+    assert sorted(rows) == [f"m{i}" for i in range(1, 9)]
+    assert [m for m in sorted(rows) if rows[m]["is_complaint_like"]] == ["m1", "m3", "m5", "m7", "m8"]
+    assert [m for m in sorted(rows) if rows[m]["is_spam_like"]] == ["m6"]
+    scopes = {m: r["message_scope"] for m, r in rows.items()}
+    inbound = dict.fromkeys(["m1", "m4", "m5", "m7", "m8"], "external_inbound")
+    assert scopes == inbound | {"m2": "external_outbound", "m3": "internal", "m6": "mixed"}
+    linked = {m: r["linked_order_id"] for m, r in rows.items() if r["linked_order_id"]}
+    assert linked == {"m1": "4000000001", "m2": "4000000001", "m5": "4000000003"}
+    assert rows["m5"]["event_date"] == "2024-02-14" and not rows["m5"]["is_duplicate_source_id"]
+    assert rows["m8"]["customer_id_clean"] is None
 
 
 def test_every_member_of_a_repeated_id_is_flagged(raw):
-    doubled = raw["communications"].unionByName(raw["communications"].limit(1))
+    doubled = raw["communications"].unionByName(raw["communications"].where("subject = 'A question'"))
     flagged = emails.email_fact(doubled, DOMAIN).where("is_duplicate_source_id")
-    assert [r["source_message_id"] for r in flagged.collect()] == ["<msg0000@example.com>"] * 2
+    assert [r["source_message_id"] for r in flagged.collect()] == ["<m4@post>"] * 2
 
 
 def test_document_fact(built):
     rows = by(built["fact_document"], "source_document_id")
-    assert len(rows) == 40
-    shipping = rows["SDOC00002"]
-    assert shipping["event_timestamp"] == day(2) and shipping["delivery_lag_days"] == 4
-    assert shipping["content_summary"] == "SHIPPING_NOTICE for order 0000010002, customer Customer 2"
-    memo = rows["BDOC00003"]
-    assert memo["order_id"] is None and memo["event_date"] == "2023-06-10"
-    assert memo["revenue_amount"] == 0.0 and memo["delivery_lag_days"] is None
+    assert sorted(rows) == [f"A{i}" for i in range(1, 9)] + ["N1", "N2"]
+    times = {name: rows[name]["event_timestamp"] for name in rows}
+    assert times == {"A1": day(0), "A2": day(4), "A3": day(11), "A4": day(13), "A5": day(18), "A6": day(17),
+                     "A7": day(22), "A8": day(41), "N1": day(3), "N2": None}
+    lags = {name: r["delivery_lag_days"] for name, r in rows.items() if r["delivery_lag_days"] is not None}
+    assert lags == {"A2": 3, "A4": -1, "A7": 6}
+    assert rows["A2"]["content_summary"] == "SHIPPING_NOTICE for order 4000000001, customer House KA"
+    assert rows["N1"]["content_summary"] == "Gate two is closed."
+    assert rows["N1"]["order_id"] is None and rows["N2"]["event_date"] is None
+    assert rows["A5"]["refund_amount"] == 12.5 and rows["A5"]["revenue_amount"] == 0.0
 
 
 def test_order_fact(built):
-    rows = by(built["fact_order"], "order_id")
-    assert len(rows) == 10
-    for k in range(10):
-        r = rows[f"00000100{k:02d}"]
-        assert (r["order_line_count"], r["product_nunique"], r["plant_nunique"]) == (2, 2, 2)
-        assert (r["shipping_point_nunique"], r["document_count"], r["linked_email_count"]) == (2, 3, 1)
-        assert r["customer_id_clean"] == ("CUST000" if k % 2 == 0 else "CUST002")
-        assert r["will_be_delayed"] is (k in (2, 7))
-        assert r["will_generate_credit_memo"] is (k in (4, 9))
-        assert r["will_generate_complaint"] is (k == 0)
-    late, memo = rows["0000010002"], rows["0000010004"]
-    assert (late["max_delivery_lag_days"], late["delayed_shipments"]) == (4, 3)
-    assert (memo["refund_total"], memo["credit_memo_count"]) == (72.0, 3)
-    plants = [rows[f"00000100{k:02d}"]["primary_plant"] for k in range(10)]
-    assert plants == ["PL00", "PL02", "PL01", "PL00", "PL02", "PL01", "PL00", "PL02", "PL01", "PL00"]
+    rows = {int(k) % 10: r for k, r in by(built["fact_order"], "order_id").items()}
+    assert sorted(rows) == [1, 2, 3, 4, 5]
+    column = lambda name: [rows[k][name] for k in range(1, 6)]
+    assert column("customer_id_clean") == ["KA", "KA", "KB", "KA", "KC"]
+    assert column("order_line_count") == [2, 1, 3, 1, 1]
+    assert column("product_nunique") == [2, 1, 2, 1, 1]
+    assert column("plant_nunique") == [1, 1, 2, 1, 1]
+    assert column("shipping_point_nunique") == [1, 1, 2, 1, 1]
+    assert column("primary_plant") == ["NORTH", "SOUTH", "NORTH", "NORTH", "SOUTH"]
+    assert column("document_count") == [2, 2, 2, 1, 0]
+    assert column("linked_email_count") == [2, 0, 1, 0, 0]
+    assert column("max_delivery_lag_days") == [3, -1, 0, 6, 0]
+    assert column("delayed_shipments") == [1, 0, 0, 1, 0]
+    assert column("refund_total") == [0.0, 0.0, 12.5, 0.0, 0.0]
+    assert column("revenue_total") == [100.0, 50.0, 0.0, 0.0, 0.0]
+    assert column("will_be_delayed") == [True, False, False, True, False]
+    assert column("will_generate_credit_memo") == [False, False, True, False, False]
+    assert column("will_generate_complaint") == [False, True, True, False, False]
 
 
 def test_complaints_by_order(built):
-    # CUST000 at day 0 and CUST003, which has no order, at day 15.
+    # Not m3 (internal), m7 (95 days after the order of KC) and m8 (no customer).
     found = orders.complaints_by_order(built["fact_order"], built["fact_email"]).collect()
-    assert [tuple(r) for r in found] == [("0000010000", 1, day(0))]
+    assert sorted(tuple(r) for r in found) == [("4000000002", 1, day(8)), ("4000000003", 1, day(13))]
 
 
 def test_customer_dim(built):
     rows = by(built["dim_customer"], "customer_id_clean")
-    assert set(rows) == {"CUST000", "CUST001", "CUST002", "CUST003"}
-    rates = {c: round(r["issue_rate"], 6) for c, r in rows.items()}
-    assert rates == {"CUST000": 0.6, "CUST002": 0.4, "CUST001": 0.0, "CUST003": 0.0}
-    assert rows["CUST001"]["order_count"] == 0 and rows["CUST001"]["customer_label"] == "Customer 1"
-    first = customers.by_issue_rate(built["dim_customer"]).first()
-    assert first["customer_id_clean"] == "CUST000"
+    assert set(rows) == {"KA", "KB", "KC", "KX", None}
+    assert {c: r["order_count"] for c, r in rows.items()} == {"KA": 3, "KB": 1, "KC": 1, "KX": 0, None: 0}
+    assert {c: r["email_count"] for c, r in rows.items()} == {"KA": 3, "KB": 2, "KC": 1, "KX": 1, None: 1}
+    assert rows["KA"]["customer_label"] == "House KA" and rows[None]["customer_label"] == "unlinked"
+    assert rows["KC"]["issue_rate"] == rows["KX"]["issue_rate"] == 0.0
+    assert rows["KA"]["issue_rate"] == 1.0
+    worst = customers.by_issue_rate(built["dim_customer"]).first()
+    assert worst["issue_rate"] == max(r["issue_rate"] for r in rows.values())
 
 
 def test_missing_customer_meets_missing_customer(spark, built):
@@ -83,60 +93,59 @@ def test_missing_customer_meets_missing_customer(spark, built):
     rows = customers.customer_dim(built["fact_order"], mails, built["fact_document"])
     nobody = rows.where("customer_id_clean IS NULL").collect()
     assert len(nobody) == 1
-    assert (nobody[0]["email_count"], nobody[0]["document_count"]) == (28, 10)
+    assert (nobody[0]["email_count"], nobody[0]["document_count"]) == (8, 2)
     assert nobody[0]["customer_label"] == "unlinked"
 
 
 def test_timeline_and_daily(built):
     timeline = built["fact_event_timeline"]
-    assert timeline.count() == 78
-    ordered = [r["event_timestamp"] for r in events.in_time_order(timeline).collect()]
+    dated = 5 + 8 + 9  # orders, mails, papers; N2 has no date
+    assert timeline.where("event_timestamp IS NOT NULL").count() == dated
+    ordered = [r["event_timestamp"] for r in events.in_time_order(timeline).collect() if r["event_timestamp"]]
     assert ordered == sorted(ordered)
     daily = built["fact_customer_daily"]
-    assert daily.agg(F.sum("event_count")).first()[0] == 78
-    assert daily.where("customer_id_clean IS NULL").agg(F.sum("event_count")).first()[0] == 10
+    assert daily.agg(F.sum("event_count")).first()[0] == dated
+    assert daily.where("customer_id_clean IS NULL").agg(F.sum("event_count")).first()[0] == 2  # m8 and N1
 
 
 def test_prior_features(built):
-    rows = by(built["fact_order_risk_features"], "order_id")
-    rates = lambda ks, name: [round(rows[f"00000100{k:02d}"][name], 6) for k in ks]
-    even, odd = range(0, 10, 2), range(1, 10, 2)
-    delayed = "customer_prior_will_be_delayed_rate"
-    third = round(1 / 3, 6)
-    assert rates(even, delayed) == [0, 0, 0.5, third, 0.25]
-    assert rates(odd, delayed) == [0, 0, 0, 0, 0.25]
-    assert rates(even, "customer_prior_will_generate_complaint_rate") == [0, 1, 0.5, third, 0.25]
-    assert rates(even, "customer_prior_will_generate_credit_memo_rate") == [0, 0, 0, third, 0.25]
-    assert all(r["customer_prior_orders_log"] >= 0 for r in rows.values())
+    rows = {int(k) % 10: r for k, r in by(built["fact_order_risk_features"], "order_id").items()}
+    column = lambda name: [round(rows[k][name], 6) for k in range(1, 6)]
+    # KA: first order delayed, second one complained about; others have no earlier order.
+    assert column("customer_prior_will_be_delayed_rate") == [0, 1, 0, 0.5, 0]
+    assert column("customer_prior_will_generate_complaint_rate") == [0, 0, 0, 0.5, 0]
+    assert column("customer_prior_will_generate_credit_memo_rate") == [0, 0, 0, 0, 0]
+    assert column("plant_prior_orders") == [0, 0, 1, 2, 1]
+    assert column("plant_prior_delay_rate") == [0, 0, 1, 0.5, 0]
 
 
 def test_corpus(built):
     corpus = built["retrieval_corpus"]
     kinds = {r["entity_type"]: r["count"] for r in corpus.groupBy("entity_type").count().collect()}
-    assert kinds == {"order": 10, "customer": 4, "email": 14, "document": 40}
-    order = corpus.where("doc_id = 'order:0000010002'").first()
+    assert kinds["customer"] == 5 and kinds["document"] == 10 and kinds["order"] == 3
+    order = corpus.where("doc_id = 'order:4000000001'").first()
     assert order["text"] == (
-        "Order 0000010002 for customer CUST000 created on 2023-06-07. 2 lines, 3 documents, "
-        "1 emails, max delivery lag 4 days, complaint=False, credit=False."
+        "Order 4000000001 for customer KA created on 2024-02-01. 2 lines, 2 documents, "
+        "2 emails, max delivery lag 3 days, complaint=False, credit=False."
     )
-    customer = corpus.where("doc_id = 'customer:CUST000'").first()
-    assert "issue rate 60.00%," in customer["text"]
+    customer = corpus.where("doc_id = 'customer:KA'").first()
+    assert "issue rate 100.00%," in customer["text"]
 
 
 def test_mail_cap_keeps_complaints_first(built):
-    capped = most_relevant_mails(built["fact_email"], 8).collect()
-    assert len(capped) == 8
-    assert [r["is_complaint_like"] for r in capped].count(True) == 6
+    capped = most_relevant_mails(built["fact_email"], 6).collect()
+    assert len(capped) == 6
+    assert [r["is_complaint_like"] for r in capped].count(True) == 5
 
 
 def test_quality_report(raw, built):
     report = quality.quality_report(raw, built)
-    assert report["raw_counts"]["communications"] == 28
-    assert report["processed_counts"]["fact_event_timeline"] == 78
-    assert report["sqlite_vs_parquet_email_gap"] == 18
+    assert report["raw_counts"]["communications"] == 8
+    assert report["processed_counts"]["fact_order"] == 5
+    assert report["sqlite_vs_parquet_email_gap"] == 5
     assert report["email_duplicate_source_ids"] == 0
-    assert report["null_customer_ids_in_email_pct"] == 0.0
-    assert report["email_date_range"] == ["2023-06-01 00:00:00", "2023-06-28 00:00:00"]
+    assert report["null_customer_ids_in_email_pct"] == 12.5
+    assert report["email_date_range"] == ["2024-02-09 00:00:00", "2024-05-31 00:00:00"]
 
 
 def test_empty_inputs(spark, raw):
@@ -161,13 +170,12 @@ def test_missing_columns(raw):
 
 
 def test_entity_lookup_and_pages(built):
-    chosen = reports.of_entity(built["fact_order"], "order_id", "0000010002")
+    chosen = reports.of_entity(built["fact_order"], "order_id", "4000000002")
     assert chosen.count() == 1
     plan = chosen._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(order_id,0000010002)" in plan
+    assert "EqualTo(order_id,4000000002)" in plan
     flow = {(r["source"], r["target"]): r["orders"] for r in reports.lifecycle_flow(built["fact_order"]).collect()}
-    assert flow[("All orders", "No issue")] == 10 - 2 - 1
-    assert flow[("Delayed", "Credit memo")] == flow[("Complaint", "Credit memo")] == 2
+    assert flow[("All orders", "No issue")] == 5 - 2 - 2
 
 
 def test_complaint_change_has_no_gaps(spark):
