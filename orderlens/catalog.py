@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bindings as b
@@ -17,7 +17,7 @@ from .constants import CATEGORICAL_FEATURES, NUMERIC_FEATURES, TARGETS
 from .functions import ids, numbers, text, time
 from .operators import curves, exact
 from .operators.nearest import HOUR_MICROS, nearest_in_time
-from .operators.running import time_ranked, value_at_quantile
+from .operators.running import ranked_in_time, time_ranked, value_at_quantile
 from .pipeline import build_tables
 from .plans import corpus, customers, documents, emails, events, measures, orders, quality, reports
 from .plans.risk_features import order_risk_features
@@ -26,6 +26,7 @@ from .retrieval.search import candidates, retrieve
 from .retrieval.summary import answer
 from .risk import models, splits, train
 from .session import ensure_checkpoint_dir, new_work_dir
+from .sources import entities
 from .sources.raw import file_listing, fingerprint
 from .sources.store import Store
 
@@ -274,12 +275,44 @@ def _timeline(key: str) -> Query:
 
     def query(spark, sf):
         rows = built(spark, sf)["fact_event_timeline"].where(F.col(key).isNotNull())
-        place = Window.partitionBy(key).orderBy(F.asc_nulls_last("event_timestamp"), "event_id")
-        return rows.select(key, "event_id", "event_type", F.rank().over(place).alias("position"))
+        placed = ranked_in_time(rows, key, "event_timestamp", "event_id", "position")
+        return placed.select(key, "event_id", "event_type", F.col("position").cast("int").alias("position"))
 
     return query
 
 
+_entities: dict[tuple[str, str], str] = {}
+
+
+def _entity_root(spark: SparkSession, sf_dir: str) -> str:
+    """Orders, mails, documents and events by customer and by order, written once per session."""
+    place = (spark.sparkContext.applicationId, sf_dir)
+    if place not in _entities:
+        root = new_work_dir(spark, "entities")
+        tables = built(spark, sf_dir)
+        for name, key, at in entities.LAYOUT:
+            entities.write(tables[name], root, name, key, at)
+        _entities[place] = root
+    return _entities[place]
+
+
+def customer_page(spark, sf):
+    """All events of the customer with the highest issue rate."""
+    first = customers.by_issue_rate(built(spark, sf)["dim_customer"].where("customer_id_clean IS NOT NULL")).first()
+    page = entities.read(
+        spark, _entity_root(spark, sf), "fact_event_timeline", "customer_id_clean", first["customer_id_clean"]
+    )
+    return presented(page.select("customer_id_clean", "event_timestamp", "event_type", "event_id", "order_id"))
+
+
+def order_page(spark, sf):
+    """The documents of the order with most of them, in their order on the page."""
+    fact = built(spark, sf)["fact_order"].where("order_id IS NOT NULL")
+    first = fact.orderBy(F.desc("document_count"), "order_id").first()
+    page = entities.read(spark, _entity_root(spark, sf), "fact_document", "order_id", first["order_id"])
+    return presented(reports.linked_documents(page))
+
+
 def raw_fingerprint(spark, sf):
     names = ["lineitem", "orders", "events", "documents", "conversations", "customer"]
     paths = {name: f"{sf}/{name}.parquet" for name in names}
@@ -348,6 +381,8 @@ QUERIES: dict[str, Query] = {
     "text_timestamps": text_timestamps,
     "customer_timeline": _timeline("customer_id_clean"),
     "order_timeline": _timeline("order_id"),
+    "customer_page": customer_page,
+    "order_page": order_page,
 }
 
 

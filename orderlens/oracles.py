@@ -1120,3 +1120,22 @@ ORACLES.update(
             f"FROM risk_numbers WHERE {n} IS NOT NULL GROUP BY {n}" for n in CATEGORICAL_FEATURES)),
     }
 )
+
+ORACLES.update(
+    {
+        "customer_page": star(f"""
+        SELECT customer_id_clean, {_at('event_timestamp')} AS event_timestamp, event_type, event_id, order_id
+        FROM fact_event_timeline
+        WHERE customer_id_clean = (SELECT customer_id_clean FROM dim_customer
+            WHERE customer_id_clean IS NOT NULL
+            ORDER BY issue_rate DESC, order_count DESC, customer_id_clean LIMIT 1)"""),
+        "order_page": star(f"""
+        SELECT order_id, document_type, source_document_id, {_at('event_timestamp')} AS event_timestamp,
+               round(revenue_amount, 4) AS revenue_amount, round(cost_amount, 4) AS cost_amount,
+               round(refund_amount, 4) AS refund_amount, delivery_lag_days, content_summary
+        FROM fact_document
+        WHERE order_id = (SELECT order_id FROM fact_order WHERE order_id IS NOT NULL
+                          ORDER BY document_count DESC, order_id LIMIT 1)"""),
+    }
+)
+

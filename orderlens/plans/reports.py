@@ -229,26 +229,19 @@ def order_kpis(orders: DataFrame, scores: DataFrame | None = None) -> DataFrame:
 
 
 def linked_documents(documents: DataFrame) -> DataFrame:
-    """Documents with an order, in the time order of the order page."""
-    return (
-        documents.where(F.col("order_id").isNotNull())
-        .select(
-            "order_id", "document_type", "source_document_id", "event_timestamp",
-            "revenue_amount", "cost_amount", "refund_amount", "delivery_lag_days",
-            "content_summary",
-        )
-        .orderBy("order_id", F.asc_nulls_last("event_timestamp"), "source_document_id")
+    """Documents with an order. A page shows one order's, sorted by time where they are read
+    (`sources.entities`); all of them together need no order."""
+    return documents.where(F.col("order_id").isNotNull()).select(
+        "order_id", "document_type", "source_document_id", "event_timestamp",
+        "revenue_amount", "cost_amount", "refund_amount", "delivery_lag_days",
+        "content_summary",
     )
 
 
 def linked_emails(emails: DataFrame) -> DataFrame:
-    return (
-        emails.where(F.col("linked_order_id").isNotNull())
-        .select(
-            "linked_order_id", "timestamp", "from_email", "to_email", "subject",
-            "message_scope", "is_complaint_like", "body_preview",
-        )
-        .orderBy("linked_order_id", F.asc_nulls_last("timestamp"), "from_email", "subject")
+    return emails.where(F.col("linked_order_id").isNotNull()).select(
+        "linked_order_id", "timestamp", "from_email", "to_email", "subject",
+        "message_scope", "is_complaint_like", "body_preview",
     )
 
 

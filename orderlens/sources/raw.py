@@ -90,20 +90,22 @@ def file_listing(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 
 
 def fingerprint(listing: DataFrame) -> DataFrame:
-    """One SHA-256 over name, sizes and modification times of all raw files.
+    """One SHA-256 over all raw files: a tree of hashes with three levels.
 
-    Files are folded into one row per table by an order-free sum of hashes, so a
-    table of a million files is never listed in one place.
+    A file's entry is the hash of its name, place below the table, length and time. Entries are
+    sorted and hashed per table and first digits of the entry, these nodes per table, and the
+    tables together: a table of a million files is never listed in one place, and moving the
+    folder changes nothing.
     """
-    entry = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
-    per_table = listing.groupBy("name").agg(
-        F.count(F.lit(1)).alias("files"),
-        F.sum("length").alias("bytes"),
-        F.sum(entry).alias("digest"),
+    entry = F.sha2(
+        F.concat_ws("|", "name", "path", "length", F.unix_micros("modificationTime").cast("string")), 256
     )
-    line = F.concat_ws(":", "name", "files", "bytes", "digest")
-    return per_table.agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("fingerprint"),
-        F.sum("files").alias("files"),
-        F.sum("bytes").alias("bytes"),
+    folded = lambda column: F.sha2(F.array_join(F.array_sort(F.collect_list(column)), "\n"), 256)
+    nodes = (
+        listing.withColumn("entry", entry)
+        .groupBy("name", F.substring("entry", 1, 3).alias("node"))
+        .agg(folded("entry").alias("hash"), F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
     )
+    sums = [F.sum("files").alias("files"), F.sum("bytes").alias("bytes")]
+    tables = nodes.groupBy("name").agg(folded(F.concat_ws(":", "node", "hash")).alias("hash"), *sums)
+    return tables.agg(folded(F.concat_ws(":", "name", "hash")).alias("fingerprint"), *sums)
