@@ -44,6 +44,8 @@ from orderlens.llm.common import broadcast_if_small, prepare, written
 
 RUN = 8
 WIDESPREAD, WIDE_PAGES = 0.6, 10
+# Words of a block that is running text.
+PROSE_WORDS = 25
 SHARD_BYTES = 4 << 20
 
 # Element names and words of class, id and role attributes.
@@ -55,9 +57,13 @@ BLOCKS = set(
     " section summary table tbody td tfoot th thead tr ul".split()
 )
 DROPPED = set(
-    "aside button canvas dialog fieldset footer form head iframe input menu nav noscript object script search select"
-    " style svg template textarea title".split()
+    "aside button canvas footer head iframe input menu nav noscript script search select style svg template textarea"
+    " title".split()
 )
+# Boilerplate unless they turn out to hold an article or main; a form's own controls always go.
+WRAPPERS = {"form", "header", "fieldset", "dialog", "object"}
+# Of these, what an article may hold as a part of its own.
+PARTS_OF_ARTICLES = {"header", "fieldset", "object"}
 HINTS = set(
     "ad ads adv advert advertisement advertising adverts banner sponsor sponsored promo promotion nav navbar navigation"
     " menu breadcrumb breadcrumbs sidebar aside footer masthead topbar cookie cookies consent gdpr notice notices alert"
@@ -104,8 +110,10 @@ def _named(name: str, inside: bool) -> set[str]:
 def _unwanted(tag: str, rest: str, inside: bool) -> str:
     """Whether an element is left out with all it holds; `inside` an article. "always", or by
     name alone: "hint" or "comments"; else empty."""
-    if tag in DROPPED or (tag == "header" and not inside):
+    if tag in DROPPED:
         return "always"
+    if tag in WRAPPERS and not (inside and tag in PARTS_OF_ARTICLES):
+        return "hint"
     if tag in ("html", "body", "article", "main") or "=" not in rest and "hidden" not in rest.lower():
         return ""
     hints: set[str] = set()
@@ -137,9 +145,18 @@ def blocks_of(html: str) -> tuple[list[str], bool]:
     every: list[tuple[list[tuple[str, _Hinted | None]], bool]] = []
     current: list[tuple[str, _Hinted | None]] = []
     hinted: list[_Hinted] = []
+    open_tags: dict[str, int] = {}
+    open_blocks: list[int] = []  # places in the stack of elements that start or hold blocks
     seen = False  # an article or main
     at, size = 0, len(html)
 
+    def cut(place: int) -> None:
+        for entry in stack[place:]:
+            open_tags[entry[0]] -= 1
+        del stack[place:]
+        while open_blocks and open_blocks[-1] >= place:
+            open_blocks.pop()
+
     def end_block() -> None:
         if current:
             every.append((current.copy(), bool(stack) and stack[-1][2]))
@@ -147,7 +164,7 @@ def blocks_of(html: str) -> tuple[list[str], bool]:
 
     def pop_to(place: int) -> None:
         end_block()
-        del stack[place:]
+        cut(place)
 
     while at < size:
         here = html.find("<", at)
@@ -170,21 +187,22 @@ def blocks_of(html: str) -> tuple[list[str], bool]:
         if m["close"]:
             if tag == "br":
                 end_block()
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if place is not None:
+            if open_tags.get(tag):
+                # What is passed over here is closed with it.
+                place = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag)
                 if any(x[0] in BLOCKS for x in stack[place:]):
                     pop_to(place)
                 else:
-                    del stack[place:]
+                    cut(place)
             elif tag in BLOCKS:
                 end_block()
             continue
         if tag in BLOCKS:
             end_block()
-            for i in range(len(stack) - 1, -1, -1):
+            for i in reversed(open_blocks):
                 open_tag = stack[i][0]
                 if open_tag == "p" or open_tag in ENDS_BEFORE.get(tag, ()):
-                    del stack[i:]
+                    cut(i)
                     break
                 if open_tag in HOLDERS or (open_tag in BLOCKS and open_tag not in ENDS_BEFORE):
                     break
@@ -204,6 +222,9 @@ def blocks_of(html: str) -> tuple[list[str], bool]:
             above = around
             while above and not above.holds and not above.closed:
                 above.holds, above = True, above.around
+        if tag in BLOCKS or tag in HOLDERS:
+            open_blocks.append(len(stack))
+        open_tags[tag] = open_tags.get(tag, 0) + 1
         stack.append((tag, unwanted or why == "always", inside or tag in ("article", "main"), around))
     end_block()
     left_out: set[_Hinted | None] = set()
@@ -213,7 +234,11 @@ def blocks_of(html: str) -> tuple[list[str], bool]:
     texts = [(" ".join("".join([t for t, x in parts if x not in left_out]).split()), inside) for parts, inside in every]
     texts = [(t, inside) for t, inside in texts if t]
     marked = [t for t, inside in texts if inside]
-    return (marked, True) if marked else ([t for t, _ in texts], False)
+    # Articles that hold less than the running text beside them are cards, not the main part.
+    prose = sum(len(t) for t, inside in texts if not inside and t.count(" ") >= PROSE_WORDS - 1)
+    if marked and prose <= sum(map(len, marked)):
+        return marked, True
+    return [t for t, _ in texts], False
 
 
 def _depth_ranks(stream: np.ndarray, depth: int) -> np.ndarray:

@@ -149,3 +149,31 @@ def test_given_pages_against_their_markup(spark):
 
 def test_empty_table(spark):
     assert pages.extract(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_wrappers_around_an_article_lose_nothing():
+    story = "<article><p>Hello world</p></article>"
+    for html in (
+        f'<form id="aspnetForm">{story}<input type=submit><button>Go</button></form>',
+        f"<header>{story}</header>", f"<dialog open>{story}</dialog>", f"<fieldset><object>{story}</object></fieldset>",
+    ):
+        assert pages.blocks_of(html) == (["Hello world"], True), html
+    assert pages.blocks_of("<main><fieldset><p>kept</p></fieldset><form><p>Your name</p></form></main>") == (["kept"], True)
+    assert pages.blocks_of("<form><p>Your name</p></form><header>Site</header><p>text</p>") == (["text"], False)
+
+
+def test_cards_are_not_the_main_part():
+    story = " ".join(f"word{i}" for i in range(60))
+    html = f'<article class="card"><h2>Teaser</h2></article><div id="content"><p>{story}</p></div>'
+    assert pages.blocks_of(html) == (["Teaser", story], False)
+    assert pages.blocks_of(f"<p>Short line</p><article><p>{story}</p></article>") == ([story], True)
+
+
+def test_broken_html_of_a_megabyte_is_quick():
+    import time
+
+    begin = time.process_time()
+    for html in ("<b>" * 150_000 + "</i>" * 150_000, "<b>" * 100_000 + "<div>x</div>" * 60_000,
+                 "<li>" * 100_000 + "</ul>" * 100_000, "<p>" * 150_000 + "</p>" * 150_000):
+        pages.blocks_of(html)
+    assert time.process_time() - begin < 40
