@@ -24,7 +24,7 @@ HEADLINES = [
     "issue_customer_zscores", "overview_risk", "latest_orders", "complaint_change",
     "relationship_check", "binary_metrics", "best_thresholds", "time_ranks", "keyword_counts",
     "order_references", "tfidf_candidates", "retrieve_evidence", "evidence_summaries",
-    "precision_recall", "calibrated_scores",
+    "precision_recall", "training_record",
 ]
 
 
