@@ -102,8 +102,9 @@ def arc_record(url: str | None, date: str, block: bytes, version: int = 1, name:
 
 
 def parse_arc(data: bytes) -> Iterator[tuple[list[str], bytes]]:
-    """(fields of the record line, content) of every record, version blocks included."""
-    version, at = 1, 0
+    """(fields of the record line, content) of every record. Only the first record of a file can
+    be its version block; a later one of that scheme is an ordinary page."""
+    version, at, opening = 1, 0, True
     while at < len(data):
         if data[at : at + 1] in (b"\n", b"\r"):
             at += 1
@@ -111,7 +112,7 @@ def parse_arc(data: bytes) -> Iterator[tuple[list[str], bytes]]:
         end = data.find(b"\n", at)
         line = data[at : len(data) if end < 0 else end].decode("utf-8", "replace").rstrip("\r")
         fields = line.split(" ")
-        opening = line.startswith("filedesc://")
+        opening = opening and line.startswith("filedesc://")
         if end < 0 or not fields[-1].isdigit() or (len(fields) < 5 if opening else len(fields) != len(ARC_FIELDS[version].split())):
             raise ValueError(f"no ARC record line of version {version} at byte {at}: {line[:80]!r}")
         begin, length = end + 1, int(fields[-1])
@@ -122,6 +123,7 @@ def parse_arc(data: bytes) -> Iterator[tuple[list[str], bytes]]:
             version = int(content.split(b" ", 1)[0])
             if version not in ARC_FIELDS:
                 raise ValueError(f"unknown ARC version {version}")
+        opening = False
         yield fields, content
         at = begin + length
 
@@ -239,9 +241,9 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for content in batch.column(0):
-                for fields, block in parse_arc(_unpacked(content.as_py())):
+                for place, (fields, block) in enumerate(parse_arc(_unpacked(content.as_py()))):
                     url, ip, date, mime = fields[:4]
-                    if url.startswith("filedesc://"):
+                    if place == 0 and url.startswith("filedesc://"):
                         continue
                     kind, head, payload, number = "resource", b"", block, None
                     if block.startswith(b"HTTP/"):

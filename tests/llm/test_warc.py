@@ -81,3 +81,11 @@ def test_identifiers_hold_their_number():
         assert identifier.version == 8 and identifier.variant == uuid.RFC_4122
         assert warc.record_number(identifier) == n
     assert warc.record_number(warc.record_uuid(None, b"x")) is None
+
+
+def test_a_page_of_the_version_scheme_is_a_page(spark):
+    rows = [(1, "filedesc://x.arc", "one", "c"), (2, "filedesc://1 0 names", "two", "c"), (3, "http://h/", "one", "c")]
+    found = {r.page_id: r for r in warc.archive_pages(spark.createDataFrame(rows, SCHEMA).repartition(1)).collect()}
+    assert {i: (r.record_type, r.refers_to) for i, r in found.items()} == {
+        1: ("response", None), 2: ("response", None), 3: ("revisit", 1)}
+    assert found[2].payload_digest == warc.payload_digest(b"two")
