@@ -8,6 +8,8 @@ import numpy as np
 
 # Words longer than this are scored in parts of this length.
 LONGEST = 64
+# Words of one length go to numpy in matrices of at most this size.
+MATRIX_BYTES = 1 << 19
 _SPACES = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
 
@@ -24,15 +26,17 @@ def short_words(text: str | None) -> list[bytes]:
     return words
 
 
-def by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places in `words`, byte matrix) for every length that occurs; words are not empty."""
+def by_length(words: list[bytes], most_bytes: int = MATRIX_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places in `words`, byte matrix) for every length that occurs, in matrices of at most some
+    `most_bytes` bytes; words are not empty."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(sizes, kind="stable")
     edges = np.flatnonzero(np.diff(sizes[order], prepend=-1, append=-1))
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        at = order[a:b]
-        matrix = np.frombuffer(b"".join([words[i] for i in at]), np.uint8).reshape(len(at), -1)
-        yield at, matrix
+        rows = max(1, most_bytes // int(sizes[order[a]]))
+        for c in range(a, b, rows):
+            at = order[c : min(b, c + rows)]
+            yield at, np.frombuffer(b"".join([words[i] for i in at]), np.uint8).reshape(len(at), -1)
 
 
 class KeyTable:

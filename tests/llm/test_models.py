@@ -28,31 +28,80 @@ def test_key_table():
 # --- language ----------------------------------------------------------------
 
 
-def test_lattice_sums_all_segmentations():
-    pieces = [b" a", b"a", b"b", b"ab", b" ", b"ba", b"abab", b" ab"]
-    keys = np.array(sorted(int.from_bytes(p, "big") for p in pieces), np.uint64)
-    odds = np.random.default_rng(2).random((len(keys), 2)) / len(keys)
-    full = np.vstack((odds, np.zeros(2)))
-    own = KeyTable(keys)
+def _ways(word, pieces):
+    """All segmentations of a word, as lists of piece numbers."""
+    for marks in itertools.product((0, 1), repeat=len(word) - 1):
+        ends = [0, *(i + 1 for i, m in enumerate(marks) if m), len(word)]
+        parts = [word[a:b] for a, b in itertools.pairwise(ends)]
+        if all(p in pieces for p in parts):
+            yield [pieces.index(p) for p in parts]
 
-    def cuts(word):
-        for marks in itertools.product((0, 1), repeat=len(word) - 1):
-            ends = [0, *(i + 1 for i, m in enumerate(marks) if m), len(word)]
-            parts = [word[a:b] for a, b in itertools.pairwise(ends)]
-            if all(int.from_bytes(p, "big") in keys for p in parts):
-                yield [int(np.searchsorted(keys, int.from_bytes(p, "big"))) for p in parts]
 
-    for word in (b"ab", b"abab", b"babab"):
-        lattice = language.Lattice(own, np.frombuffer(word, np.uint8)[None, :])
-        ways = [np.prod(odds[c], axis=0) for c in cuts(b" " + word)]
+def test_lattice_sums_all_segmentations():
+    pieces = [b" a", b"a", b"b", b"ab", b" ", b"ba", b"abab", b" ab", b"ababababa", b" ababababab", b"bababababab"]
+    odds = np.random.default_rng(2).random((len(pieces), 2)) / len(pieces)
+    full, own = np.vstack((odds, np.zeros(2))), language.Pieces(pieces)
+    for word in (b"ab", b"abab", b"babab", b"abababababab", b"babababababb"):
+        lattice = language.Lattice(own, np.frombuffer(b" " + word, np.uint8)[None, :])
+        every = list(_ways(b" " + word, pieces))
+        ways = [np.prod(odds[c], axis=0) for c in every]
         assert np.allclose(np.exp(lattice.log_odds(full))[0], np.sum(ways, axis=0))
         uses = np.zeros_like(full)
-        for way, c in zip(ways, cuts(b" " + word), strict=True):
+        for way, c in zip(ways, every, strict=True):
             for k in c:
                 uses[k] += way / np.sum(ways, axis=0)
         assert np.allclose(lattice.expected(full, np.ones((1, 2)))[:-1], uses[:-1])
 
 
+def test_words_of_any_length_are_one_sum():
+    pieces = [b" ", b"a", b"b", b"c", b" a", b"ab", b"bab", b"abababababa", b"cc"]
+    odds = np.random.default_rng(3).random((len(pieces), 2)) / len(pieces)
+    scorer = language.Scorer(language.Model(["x", "y"], pieces, odds))
+    rnd = np.random.default_rng(4)
+    for size in (1, 5, 70, 200, 401):
+        word = rnd.choice(np.frombuffer(b"ababababc", np.uint8), size).tobytes()
+        logs = np.full((size + 2, 2), -np.inf)
+        logs[0] = 0
+        for j in range(1, size + 2):
+            for k, p in enumerate(pieces):
+                if (b" " + word)[:j].endswith(p):
+                    logs[j] = np.logaddexp(logs[j], logs[j - len(p)] + np.log(odds[k]))
+        want = logs[-1]
+        assert np.allclose(scorer.long_word(word), want)
+        assert np.allclose(scorer.stretched(b" " + word, window=13), want)
+        parts = [p for some in scorer.pieces.parts(b" " + word, window=17) for p in some]
+        assert b"".join(parts) == b" " + word
+        assert np.allclose(sum(scorer.stretched(p) for p in parts), want)
+        assert np.allclose(scorer.predict([word.decode()])[1][0], 1 / np.exp(want - want.max()).sum())
+
+
+def test_all_pieces_of_the_vocabulary_are_found():
+    pieces = language.vocabulary(language.vocabulary_path())
+    own = language.Pieces(pieces)
+    assert own.longest > language.HEAD
+    for k in range(0, len(pieces), 97):
+        begin, size, place = own.arcs(b"x" + pieces[k] + b"y")
+        assert (1, len(pieces[k]), k) in set(zip(begin.tolist(), size.tolist(), place.tolist(), strict=True))
+
+
+def test_unspaced_text_in_bounded_memory():
+    import tracemalloc
+
+    pieces = language.vocabulary(language.vocabulary_path())
+    odds = np.full((len(pieces), 4), 1 / len(pieces))
+    text = "".join(map(chr, np.random.default_rng(5).integers(0x4E00, 0x9FA5, 350_000)))
+    scorer = language.Scorer(language.Model(list("abcd"), pieces, odds))
+    toxic = toxicity.Scorer(np.zeros(toxicity.BUCKETS + 1))
+    tracemalloc.start()
+    names, scores = scorer.predict([text])
+    assert names == ["a"] and scores[0] == pytest.approx(0.25)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.reset_peak()
+    assert toxic.scores([text])[0] == pytest.approx(0.5)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
 def test_language_accuracy_on_held_out(spark):
     docs = table(spark, MIDDLE, "documents")
     rows = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
