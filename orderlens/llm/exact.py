@@ -36,10 +36,13 @@ def normalised(text: str | Column) -> Column:
 def _named(values: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct key rows in sorted order with an integer name each.
 
-    The names are written down before anyone joins them, so a task that is run again
-    cannot number them differently.
+    Rows are sorted by a 64-bit hash of the keys and then the keys themselves: ranges are cut
+    by the hash alone, so that the driver samples eight bytes a row and keys that begin alike
+    are spread. The names are written down before anyone joins them, so a task that is run
+    again cannot number them differently.
     """
-    names = values.select(*keys).distinct().orderBy(*keys)
+    names = values.select(*keys).distinct().withColumn("hash", F.xxhash64(*keys))
+    names = names.repartitionByRange("hash").sortWithinPartitions("hash", *keys).drop("hash")
     return names.withColumn("name", F.monotonically_increasing_id()).checkpoint()
 
 
@@ -129,16 +132,14 @@ def keep_rows(docs: DataFrame, decided: DataFrame, tag: Column) -> DataFrame:
     keys = decided.groupBy("doc_id", "text_sha256").agg(
         F.max("kept").alias("kept"), F.count("*").alias("times")
     )
-    odd = keys.where(~F.col("kept") | (F.col("times") > 1)).select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_tag"), F.col("kept").alias("_kept")
-    )
-    odd = written(odd, "dropped")
-    tagged = docs.withColumn("_own", tag)
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_tag"))
+    odd = written(keys.where(~F.col("kept") | (F.col("times") > 1)), "dropped")
+    # The caller's columns travel in one struct, whatever their names.
+    tagged = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), tag.alias("tag"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("tag") == F.col("text_sha256"))
     once = tagged.join(broadcast_if_small(odd), same, "left_anti")
-    again = odd.where("_kept")
+    again = odd.where("kept")
     if again.isEmpty():
-        return once.drop("_own")
+        return once.select("row.*")
     again = written(again, "repeated")
-    repeated = tagged.join(broadcast_if_small(again), same, "left_semi").dropDuplicates(["doc_id", "_own"])
-    return once.unionByName(repeated).drop("_own")
+    repeated = tagged.join(broadcast_if_small(again), same, "left_semi").dropDuplicates(["id", "tag"])
+    return once.unionByName(repeated).select("row.*")

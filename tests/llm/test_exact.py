@@ -57,6 +57,16 @@ def test_rows_that_stay(odd):
     assert (-3, "One two three") in got and (1, None) in got and (9, ODD[9][1]) in got
 
 
+def test_columns_of_the_caller_stay(odd):
+    names = ["_id", "_tag", "_own", "_kept", "id", "tag", "row", "kept", "text_sha256", "hash", "times", "size.of"]
+    wide = odd.selectExpr("*", *(f"kind || '{n}' AS `{n}`" for n in names))
+    kept = exact.without_copies(wide)
+    assert kept.columns == wide.columns
+    rows = kept.collect()
+    assert len(rows) == exact.without_copies(odd).count()
+    assert all(r[n] == "kind" + n for r in rows for n in names)
+
+
 def test_plan_is_native(odd):
     plan = exact.exact_duplicates(odd)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
