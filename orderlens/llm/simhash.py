@@ -34,6 +34,8 @@ SHINGLE = 3
 SEED = 42
 DISTANCE = 2
 BUCKET = 512
+# Each class gives 64 variants; the classes are dealt over tasks of at most so many.
+CLASSES_PER_TASK = 8_192
 _CHUNK = 1 << 16
 
 
@@ -90,7 +92,9 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
         "CAST(shiftleft(CAST(v AS BIGINT), 32) AS BIGINT)"
         " | ((shiftright(fp, CAST(v DIV 32 AS INT) * 32) & 4294967295L) & ~shiftleft(1L, CAST(v % 32 AS INT)))"
     )
-    variants = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("v"))
+    # Dealt first: a file of fingerprints is small, the variants made of it are not.
+    tasks = max(1, -(-prints.count() // CLASSES_PER_TASK))
+    variants = prints.repartition(tasks, "fp").select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("v"))
     variants = variants.selectExpr("fp", f"{variant} AS key")
     sizes = variants.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = written(variants.join(sizes, "key"), "variants")

@@ -97,3 +97,10 @@ def test_one_of_each_group_stays(odd):
     component = groups([(i, plain_print(t)) for i, t in rows])
     want = {(i, t) for (i, t), c in zip(rows, component, strict=True) if i == c}
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_columns_of_the_caller_stay(odd):
+    names = ["_id", "_tag", "_own", "id", "row", "fp", "_text", "text_sha256", "component_id"]
+    kept = simhash.without_near_copies(odd.selectExpr("*", *(f"kind || '{n}' AS `{n}`" for n in names)))
+    assert kept.columns == [*odd.columns, *names]
+    assert all(r[n] == "kind" + n for r in kept.collect() for n in names)
