@@ -25,7 +25,6 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +37,9 @@ SEPARATOR = 0
 SHARD_PIECES = 8_192
 CACHED_CHUNKS = 400_000
 CACHED_PARTS = 400_000
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+# Longer chunks and parts are encoded each time: without spaces a chunk is a whole document.
+CACHED_BYTES = 256
+PIECES = "piece int, start long, length long, ids_crc32 long"
 
 # Chunks of these characters are cut without the library: printable ASCII and the letters and
 # signs up to U+017F, for which lower-casing and composing work character by character.
@@ -78,7 +79,11 @@ class Encoder:
         ids = self.parts.get(part)
         if ids is None:
             spelled = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
-            ids = self.parts[part] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+            ids = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+            if len(part) <= CACHED_BYTES:
+                if len(self.parts) >= CACHED_PARTS:
+                    self.parts.clear()
+                self.parts[part] = ids
         return ids
 
     def _chunk(self, chunk: bytes) -> bytes:
@@ -95,15 +100,17 @@ class Encoder:
         try:
             return b"".join([chunks[w] for w in words])
         except KeyError:
-            for w in words:
-                if w not in chunks:
-                    chunks[w] = self._chunk(w)
-            out = b"".join([chunks[w] for w in words])
-            if len(chunks) > CACHED_CHUNKS:
-                chunks.clear()
-            if len(self.parts) > CACHED_PARTS:
-                self.parts.clear()
-            return out
+            return b"".join([self._cached(w) for w in words])
+
+    def _cached(self, chunk: bytes) -> bytes:
+        ids = self.chunks.get(chunk)
+        if ids is None:
+            ids = self._chunk(chunk)
+            if len(chunk) <= CACHED_BYTES:
+                if len(self.chunks) >= CACHED_CHUNKS:
+                    self.chunks.clear()
+                self.chunks[chunk] = ids
+        return ids
 
 
 def encoder(path: str) -> Encoder:
@@ -112,7 +119,7 @@ def encoder(path: str) -> Encoder:
 
 
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Every document's ids cut into pieces of at most `capacity`: PIECES."""
+    """Every document's ids cut into pieces of at most `capacity`: doc_id as it is, and PIECES."""
     path = tokenizer or tokenizer_path()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,18 +127,19 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
         close = np.array([SEPARATOR], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for doc, text in enumerate(batch.column("text").to_pylist()):
                 ids = encode(text) + close
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     piece = ids[at : at + 4 * capacity]
                     rows.append((doc, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
             if rows:
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                arrays = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32"])
+                doc, *rest = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(doc), *rest], names)
 
-    frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw_bytes("text").alias("text"))
-    return frame.mapInArrow(cut, PIECES)
+    frame = docs.select("doc_id", raw_bytes("text").alias("text"))
+    return frame.mapInArrow(cut, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, {PIECES}")
 
 
 def pack(lengths: np.ndarray, capacity: int = CAPACITY, max_documents: int | None = None,
@@ -196,16 +204,23 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SH
     numbered = pieces.withColumn("_row", F.monotonically_increasing_id())
     numbered = numbered.withColumn("_shard", F.pmod(F.xxhash64("_row"), F.lit(shards)))
 
-    def place(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values("_row", ignore_index=True)
-        bins = pack(shard["length"].to_numpy(), capacity, **options)
-        shard["sequence_id"] = (shard["_shard"].to_numpy(np.int64) << 32) + bins
-        length = shard.groupby("sequence_id", sort=False)["length"]
-        shard["offset"] = length.cumsum() - shard["length"]
-        return shard.drop(columns=["_row", "_shard"])
+    def place(shard: pa.Table) -> pa.Table:
+        shard = shard.sort_by("_row")
+        length = shard.column("length").to_numpy()
+        bins = pack(length, capacity, **options)
+        # Within a bin pieces lie in the order of the rows.
+        order = np.argsort(bins, kind="stable")
+        ends = np.cumsum(length[order])
+        first = np.flatnonzero(np.diff(bins[order], prepend=-1))
+        begin = ends - length[order]
+        offset = np.empty(len(bins), np.int64)
+        offset[order] = begin - np.repeat(begin[first], np.diff(np.append(first, len(bins))))
+        sequence = (shard.column("_shard").to_numpy() << 32) + bins
+        shard = shard.drop_columns(["_row", "_shard"])
+        return shard.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return numbered.groupBy("_shard").applyInPandas(place, f"{schema}, sequence_id long, offset long")
+    return numbered.groupBy("_shard").applyInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

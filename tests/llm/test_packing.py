@@ -59,6 +59,24 @@ def test_given_documents(spark):
     assert used <= least + 1
 
 
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_ids_of_documents_stay_as_they_are(spark, kind):
+    ids = ["a-1", "02", "2", None] if kind == "string" else [(1 << 62) + 1, (1 << 53) + 1, -5, None]
+    rows = [(i, "some words " * 900) for i in ids]
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string")
+    found = packing.pack_documents(docs)
+    assert found.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    check(found.collect(), rows)
+
+
+def test_long_chunks_are_not_kept():
+    own = packing.Encoder(packing.tokenizer_path())
+    texts = ["x" * 5000, "日本語テスト" * 300, "ab" + "-é" * 400, " ".join("y" * n for n in range(250, 260))]
+    for text in texts:
+        assert np.frombuffer(own.ids(text.encode()), "<u4").tolist() == whole_ids(text)[:-1]
+    assert max(map(len, own.chunks)) <= packing.CACHED_BYTES >= max(map(len, own.parts))
+
+
 def test_odd_rows(odd, nothing):
     rows = packing.pack_documents(odd).collect()
     check(rows, [(r.doc_id, r.text) for r in odd.collect()])
