@@ -50,6 +50,9 @@ BITS = 9
 COUNTED_BYTES = 2 << 20
 SCORED_BYTES = 1 << 20
 COUNTED_WORDS = 150_000
+# Words of more bytes are never held: without spaces a word is a whole document.
+WORD_BYTES = 64
+HISTOGRAM = 1 << 16
 
 
 def stream(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -209,7 +212,11 @@ def counted(texts: DataFrame, order: int) -> DataFrame:
         for rows in batches:
             texts = rows.column(0).to_pylist()
             for text in texts:
-                words.update(text.lower().split())
+                split = text.lower().split()
+                words.update(w for w in split if len(w) <= WORD_BYTES)
+                long = [w for w in split if len(w) > WORD_BYTES]
+                if long:
+                    yield batch([None] * len(long), long, [1] * len(long))
                 if len(words) > COUNTED_WORDS:
                     yield batch([None] * len(words), list(words), list(words.values()))
                     words.clear()
@@ -240,22 +247,21 @@ def _tail(gram: str, size: int) -> Column:
 
 
 def _least(counts: DataFrame, most: int) -> int:
-    """The smallest count from which on no more than `most` rows remain."""
-    total = counts.count()
-    least = 1
-    while total > most:
-        least *= 2
-        total = counts.where(F.col("n") >= least).count()
-    if least > 1:  # between the last two powers
-        low, high = least // 2, least
-        while high - low > 1:
-            middle = (low + high) // 2
-            if counts.where(F.col("n") >= middle).count() > most:
-                low = middle
-            else:
-                high = middle
-        least = high
-    return least
+    """The smallest count from which on no more than `most` rows remain: histograms of the
+    counts, each over the cell of the one before in which the limit is passed."""
+    low, step, above = 1, HISTOGRAM**2, 0
+    while True:
+        inside = counts.where((F.col("n") >= low) & (F.col("n") < low + step * HISTOGRAM))
+        cells = inside.groupBy(F.floor((F.col("n") - low) / F.lit(step)).alias("cell")).count().collect()
+        for cell, rows in sorted(((c, n) for c, n in cells), reverse=True):
+            if above + rows > most:
+                break
+            above += rows
+        else:
+            return low
+        if step == 1:
+            return low + cell + 1
+        low, step = low + cell * step, step // HISTOGRAM
 
 
 def fit(docs: DataFrame, order: int = ORDER, nodes: int = NODES, frequent: int = FREQUENT) -> tuple[Model, Counts]:
@@ -291,23 +297,24 @@ def fit(docs: DataFrame, order: int = ORDER, nodes: int = NODES, frequent: int =
         arrays.append((keys[place], n[place]))
     texts = int(sum(n for key, n in zip(*arrays[0], strict=True) if key == END))
     some = words.agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).first()
-    often = words.where(F.col("n") >= _least(words.select("n"), frequent))
+    short = words.where(F.octet_length("word") <= WORD_BYTES)
+    often = short.where(F.col("n") >= _least(short.select("n"), frequent))
     known = {bytes(r.word): r.n for r in often.toLocalIterator()}
     tokens, distinct = (some.n or 0) + texts, some.kinds + (texts > 0)
     model = Model([x for x in arrays if len(x[0])], hits, least == 1, known, tokens, distinct, texts, order)
     return model, Counts(words, levels, least)
 
 
-SCORED = "row long, doc_id long, n_tokens long, n_known long, base double, score double, word binary, gram long, times long"
+SCORED = "row long, n_tokens long, n_known long, base double, score double, word binary, gram long, times long"
 
 
 def _scored(docs: DataFrame, model: Model) -> DataFrame:
     """A row per document (times is null), and a row per document and word or longest gram
     that is not among those the tasks hold. `row` numbers the documents."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    frame = docs.select("doc_id", raw_bytes("text").alias("text"))
     fields = [x.split() for x in SCORED.split(", ")]
     kinds = {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
-    schema = pa.schema([(name, kinds[kind]) for name, kind in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -315,13 +322,15 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
         logs = {w: float(np.log10(n + 1)) for w, n in words.items()}
         end = float(np.log10(model.texts + 1))
         row = TaskContext.get().partitionId() << 33
+        schema = pa.schema([])
 
         def some(**columns: pa.Array) -> pa.RecordBatch:
             n = len(columns["row"])
             return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
 
         for rows in batches:
-            ids, texts = rows.column(0).to_pylist(), rows.column(1).to_pylist()
+            schema = pa.schema([("doc_id", rows.schema.field(0).type), *((name, kinds[kind]) for name, kind in fields)])
+            texts = rows.column(1).to_pylist()
             scores = np.zeros(len(texts))
             for part in _chunks(texts, SCORED_BYTES):
                 symbols, places = stream([texts[i] for i in part], model.order)
@@ -338,7 +347,7 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
                     yield some(row=pa.array(whose, pa.int64()), gram=pa.array(gram, pa.int64()), times=pa.array(times, pa.int64()))
             out: list[list] = [[] for _ in fields]
             rare: list[list] = [[], [], []]
-            for doc, text, score in zip(ids, texts, scores.tolist(), strict=True):
+            for text, score in zip(texts, scores.tolist(), strict=True):
                 split = text.lower().split()
                 found = [logs[w] for w in split if w in logs]
                 if len(found) < len(split):
@@ -347,16 +356,16 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
                     rare[1] += left.keys()
                     rare[2] += left.values()
                 known = len(found) + (model.texts > 0)
-                values = (row, doc, len(split) + 1, known, sum(found) + end, score, None, None, None)
+                values = (row, len(split) + 1, known, sum(found) + end, score, None, None, None)
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
                 row += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+            arrays = [pa.array(c, kinds[kind]) for c, (_, kind) in zip(out, fields, strict=True)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), *arrays], schema=schema)
             if rare[0]:
                 yield some(row=pa.array(rare[0], pa.int64()), word=pa.array(rare[1], pa.binary()), times=pa.array(rare[2], pa.int64()))
 
-    frame = docs.select(F.col("doc_id").cast("long"), raw_bytes("text").alias("text"))
-    return frame.mapInArrow(run, SCORED)
+    return frame.mapInArrow(run, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, {SCORED}")
 
 
 def _unseen(grams: DataFrame, levels: list[DataFrame]) -> DataFrame:
@@ -417,7 +426,9 @@ def score_documents(docs: DataFrame, order: int = ORDER, nodes: int = NODES, fre
     model, counts = fit(docs, order, nodes, frequent)
     both = written(_scored(docs, model), "scored")
     per_word = both.where("word IS NOT NULL").select("row", "word", "times")
-    words = counts.words.where(F.col("n") < min(model.words.values())) if model.words else counts.words
+    words = counts.words
+    if model.words:
+        words = words.where((F.col("n") < min(model.words.values())) | (F.octet_length("word") > WORD_BYTES))
     met = per_word.join(words.select("word", "n"), "word").groupBy("row").agg(
         F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs")
     )

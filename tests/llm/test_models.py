@@ -237,6 +237,23 @@ def test_ppm_of_odd_rows(odd, nothing):
     assert compress.score_documents(nothing).collect() == []
 
 
+def test_ppm_of_string_ids_and_long_words(spark):
+    rows = [(f"d-{i}", "x" * 300 + f" ab {'y' * (60 + i)} ab") for i in range(12)] + [(None, "x" * 300), ("02", "")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    found = compress.score_documents(docs, order=2)
+    assert found.schema["doc_id"].dataType.simpleString() == "string"
+    check_ppm(rows, found.collect(), 2)
+
+
+def test_least_count_that_leaves_at_most_so_many(spark):
+    counts = [1] * 40 + [2] * 20 + [3] * 7 + [16_390, 20_000, 20_000, 1 << 40]
+    frame = spark.createDataFrame([(n,) for n in counts], "n long")
+    for most in (0, 1, 2, 3, 4, 10, 11, 30, 31, 70, 71, 100):
+        want = min(n for n in [*counts, *(c + 1 for c in counts)] if sum(c >= n for c in counts) <= most)
+        least = compress._least(frame, most)
+        assert sum(c >= least for c in counts) == sum(c >= want for c in counts), most
+
+
 def test_ppm_without_training_rows(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     row = compress.score_documents(spark.createDataFrame([(held, "ab")], "doc_id long, text string")).first()
