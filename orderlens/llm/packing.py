@@ -39,7 +39,8 @@ CACHED_CHUNKS = 400_000
 CACHED_PARTS = 400_000
 # Longer chunks and parts are encoded each time: without spaces a chunk is a whole document.
 CACHED_BYTES = 256
-PIECES = "piece int, start long, length long, ids_crc32 long"
+# Here with ids of documents that are long; other types stay as they are.
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 # Chunks of these characters are cut without the library: printable ASCII and the letters and
 # signs up to U+017F, for which lower-casing and composing work character by character.
@@ -119,7 +120,7 @@ def encoder(path: str) -> Encoder:
 
 
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Every document's ids cut into pieces of at most `capacity`: doc_id as it is, and PIECES."""
+    """Every document's ids cut into pieces of at most `capacity`: PIECES."""
     path = tokenizer or tokenizer_path()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +140,8 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(doc), *rest], names)
 
     frame = docs.select("doc_id", raw_bytes("text").alias("text"))
-    return frame.mapInArrow(cut, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, {PIECES}")
+    kind = frame.schema["doc_id"].dataType.simpleString()
+    return frame.mapInArrow(cut, PIECES.replace("doc_id long", f"doc_id {kind}"))
 
 
 def pack(lengths: np.ndarray, capacity: int = CAPACITY, max_documents: int | None = None,
