@@ -242,6 +242,11 @@ class Scorer:
         self.words: dict[bytes, int] = {}
         self.logs = np.empty((0, len(model.languages)))
 
+    def make_room(self) -> None:
+        if len(self.words) > CACHED_WORDS:
+            self.words.clear()
+            self.logs = self.logs[:0]
+
     def learn(self, names: set[bytes]) -> None:
         new = [w for w in names if w not in self.words]
         if not new:
@@ -257,10 +262,9 @@ class Scorer:
         out = np.zeros(len(self.languages))
         for a in range(0, len(names), TEXT_WORDS):
             some = names[a : a + TEXT_WORDS]
-            if len(self.words) > CACHED_WORDS:
-                self.words.clear()
-                self.logs = self.logs[:0]
-            self.learn(set(some))
+            if not all(map(self.words.__contains__, some)):
+                self.make_room()
+                self.learn(set(some))
             out += self.logs[np.fromiter(map(self.words.__getitem__, some), np.int64, len(some))].sum(0)
         return out
 
@@ -295,10 +299,15 @@ class Scorer:
         split = [words_of(t) for t in texts]
         long = [[w for w in words if len(w) > LONGEST] for words in split]
         usual = [[w for w in words if len(w) <= LONGEST] if far else words for words, far in zip(split, long, strict=True)]
-        if sum(map(len, usual)) <= TEXT_WORDS and len(self.words) <= CACHED_WORDS:
-            self.learn(set().union(*usual))
+        ends = np.cumsum([len(words) for words in usual])
         names, scores = [], np.zeros(len(texts))
         for k, words in enumerate(split):
+            # New words are learnt for as many texts at once as hold TEXT_WORDS words.
+            if k == 0 or ends[k] > upto:
+                upto = (ends[k - 1] if k else 0) + TEXT_WORDS
+                ahead = int(np.searchsorted(ends, upto, "right"))
+                self.make_room()
+                self.learn(set().union(*usual[k:ahead]))
             if not words or not has_letter(texts[k], words):
                 names.append(UNKNOWN)
                 continue

@@ -102,6 +102,23 @@ def test_unspaced_text_in_bounded_memory():
     tracemalloc.stop()
 
 
+def test_words_are_learnt_for_whole_groups_of_texts(monkeypatch):
+    pieces = [bytes([b]) for b in range(1, 256)] + [b" ab", b"cd"]
+    odds = np.random.default_rng(3).dirichlet(np.ones(len(pieces)), 2).T
+    model = language.Model(["x", "y"], pieces, odds)
+    texts = ["ab cd", "", None, "abcd " * 9, "q" * 200 + " ab", "new words here", "12 34", "ab"]
+    want = language.Scorer(model).predict(texts)
+    monkeypatch.setattr(language, "CACHED_WORDS", 2)
+    for most in (1, 3, 8):
+        monkeypatch.setattr(language, "TEXT_WORDS", most)
+        scorer = language.Scorer(model)
+        for _ in range(2):
+            names, scores = scorer.predict(texts)
+            assert names == want[0]
+            assert np.allclose(scores, want[1])
+    assert language.Scorer(model).predict([])[0] == []
+
+
 def test_language_accuracy_on_held_out(spark):
     docs = table(spark, MIDDLE, "documents")
     rows = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
