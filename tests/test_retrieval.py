@@ -248,3 +248,16 @@ def test_summary(spark, index):
 
 def test_default_stop_words(spark):
     assert "the" in default_stop_words()
+
+
+def test_terms_are_counted_inside_their_row(spark):
+    from orderlens.retrieval.index import each_term, term_counts, term_runs
+
+    texts = ["b a b a b", "", None, "the", "x1", "été ÉTÉ the été"]
+    df = spark.createDataFrame(list(enumerate(t and t.replace("a", "aa").replace("b", "bb") for t in texts)), "k long, text string")
+    runs = term_runs(df, ["k"], ["the"])
+    got = sorted(map(tuple, each_term(runs, ["k"]).collect()))
+    assert got == sorted(map(tuple, term_counts(df, ["k"], ["the"]).collect()))
+    assert ("bb", 3) in [(r[1], r[2]) for r in got] and ("été", 3) in [(r[1], r[2]) for r in got]
+    plan = each_term(runs, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
