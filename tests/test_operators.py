@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from orderlens.operators import curves
 from orderlens.operators.hotkeys import flag_repeats
 from orderlens.operators.nearest import nearest_in_time
-from orderlens.operators.running import running_before, time_ranked, value_at_quantile
+from orderlens.operators.running import ranked_in_time, running_before, time_ranked, value_at_quantile
 
 DAY = 86_400_000_000
 EPOCH = datetime(2023, 1, 1)
@@ -143,3 +143,25 @@ def test_one_class(spark):
     assert row["roc_auc"] is None and row["average_precision"] is None
     assert (row["f1"], row["precision"], row["recall"]) == (0.0, 0.0, 0.0)
     assert curves.best_threshold(df, "g", "y", "s").first()["threshold"] == 0.5
+
+
+def test_nearest_counts_only_probes_that_hold(spark):
+    rows = [("a", "2020-01-01 10:00:00", True), ("a", "2020-01-01 10:00:00", False), ("a", "2020-01-01 11:00:00", False)]
+    probes = spark.createDataFrame(rows, "k string, at string, holds boolean").withColumn("at", F.col("at").cast("timestamp"))
+    targets = probes.limit(1).select("k", "at", F.lit("t").alias("id"))
+    found = nearest_in_time(
+        probes, targets, key="k", at="at", target_id="id", tolerance_micros=10**12, counted=F.col("holds")
+    ).collect()
+    assert [(r["k"], r["probe_count"], r["id"]) for r in found] == [("a", 1, "t")]
+
+
+def test_rank_in_time_takes_three_levels(spark):
+    rows = [("a", 1, f"{i % 7:03x}{i:05x}") for i in range(200)] + [("a", None, "x"), ("b", 1, "y"), ("a", 1, "00000000")]
+    df = spark.createDataFrame(rows, "k string, s long, id string").withColumn("at", F.timestamp_seconds("s"))
+    ranked = ranked_in_time(df, "k", "at", "id", "rank")
+    got = {(r["k"], r["id"], r["rank"]) for r in ranked.collect()}
+    ids = sorted(r[2] for r in rows if r[0] == "a" and r[1])
+    want = {("a", i, ids.index(i) + 1) for i in ids} | {("a", "x", len(ids) + 1), ("b", "y", 1)}
+    assert got == want
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 4
