@@ -6,9 +6,17 @@ import pytest
 from conftest import DOMAIN, day
 from pyspark.sql import functions as F
 
+from orderlens.constants import PROCESSED_TABLES
+from orderlens.pipeline import Tables
 from orderlens.plans import customers, emails, events, measures, orders, quality, reports
 from orderlens.plans.corpus import most_relevant_mails
+from orderlens.session import new_work_dir
 from orderlens.sources.schemas import conform
+from orderlens.sources.store import Store
+
+
+def rows_of(df):
+    return sorted(map(repr, df.select(sorted(df.columns)).collect()))
 
 
 def by(df, key):
@@ -184,3 +192,38 @@ def test_complaint_change_has_no_gaps(spark):
     df = spark.createDataFrame(rows, "order_id string, order_created_at timestamp, will_generate_complaint boolean")
     got = measures.complaint_change(df).orderBy("month").collect()
     assert [(r["complaint_orders"], r["change"]) for r in got] == [(1, None), (0, -1.0), (2, None)]
+
+
+def _named(spark, folder):
+    from orderlens.sources.store import path_exists
+
+    return {name for name in PROCESSED_TABLES if path_exists(spark, f"{folder}/{name}.parquet")}
+
+
+def test_tables_are_written_when_read_and_without_bodies(spark, raw, built):
+    folder = new_work_dir(spark, "on-demand")
+    tables = Tables(raw, Store(spark, folder), DOMAIN, texts=False)
+    assert list(tables) == PROCESSED_TABLES and not _named(spark, folder)
+    assert tables["fact_document"].count() == built["fact_document"].count()
+    assert _named(spark, folder) == {"fact_document"}
+    assert rows_of(tables["fact_order"]) == rows_of(built["fact_order"])
+    assert _named(spark, folder) == {"fact_document", "fact_order", "fact_email"}
+    assert set(built["fact_email"].columns) - set(tables["fact_email"].columns) == {"body"}
+    # The corpus still holds whole texts, read from the raw mails, and is not stored.
+    assert rows_of(tables["retrieval_corpus"]) == rows_of(built["retrieval_corpus"])
+    assert "retrieval_corpus" not in _named(spark, folder)
+
+
+def test_distinct_lines_are_counted_without_sorting_the_heads_again(raw):
+    plan = orders.order_rollup(raw["erp_transactions"])._jdf.queryExecution().executedPlan().toString()
+    expanded = [line for line in plan.splitlines() if "Expand [" in line]
+    assert expanded and not any("struct(" in line for line in expanded)
+
+
+def test_complaints_read_the_text_once(raw):
+    """A filter on the flag would lower the whole text for each keyword."""
+    mails = emails.email_rows(raw["communications"], DOMAIN)
+    found = orders.complaints_by_order(orders.order_rollup(raw["erp_transactions"]), mails)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "lower(" in plan
+    assert all(line.count("lower(") <= 1 for line in plan.splitlines())
