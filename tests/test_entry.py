@@ -49,3 +49,14 @@ def test_customers_come_from_the_dimension(spark):
     known = tables["dim_customer"].where("customer_id_clean IS NOT NULL").count()
     ordering = tables["fact_order"].select("customer_id_clean").dropna().distinct().count()
     assert catalog.QUERIES["headline_kpis"](spark, SMALL).first()["customers"] == known > ordering
+
+
+def test_mails_are_dealt_over_tasks_before_their_texts_are_read(spark):
+    """The test file is one split; broadcast documents would leave its one task all the texts."""
+    from pyspark.sql import functions as F
+
+    from orderlens import bindings
+
+    mails = bindings.communications(spark, SMALL).select("body", F.spark_partition_id().alias("task"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert mails.where("body IS NOT NULL").select("task").distinct().count() == tasks > 1
