@@ -214,6 +214,35 @@ def test_tables_are_written_when_read_and_without_bodies(spark, raw, built):
     assert "retrieval_corpus" not in _named(spark, folder)
 
 
+def test_reports_compute_their_columns_and_write_no_fact(spark, raw, built):
+    folder = new_work_dir(spark, "composed")
+    tables = Tables(raw, Store(spark, folder), DOMAIN, texts=False)
+    for name in ["fact_email", "fact_document", "fact_order", "fact_event_timeline", "fact_customer_daily"]:
+        wanted = built[name].drop("body")
+        assert rows_of(tables.plan(name)) == rows_of(wanted), name
+    heads = tables.plan("fact_order").select("order_id", "order_created_at")
+    plan = heads._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(word in plan for word in ["Join", "body", "document_type"])
+    flagless = tables.plan("fact_document").select("order_id", "event_timestamp")
+    assert "_again" not in flagless._jdf.queryExecution().optimizedPlan().toString()
+    assert not _named(spark, folder)
+    assert rows_of(tables["dim_customer"]) == rows_of(built["dim_customer"])
+    assert rows_of(tables["fact_event_timeline"]) == rows_of(built["fact_event_timeline"])
+    assert _named(spark, folder) == {"dim_customer", "fact_event_timeline"}
+
+
+def test_kept_columns_are_written_once(spark, raw, built):
+    tables = Tables(raw, Store(spark, new_work_dir(spark, "kept")), DOMAIN, texts=False)
+    for name, columns in [
+        ("fact_order", ["order_id", "will_be_delayed"]),
+        ("fact_order_risk_features", ["order_id", "order_line_count", "plant_prior_delay_rate"]),
+    ]:
+        kept = tables.kept(name, *columns)
+        assert rows_of(kept) == rows_of(built[name].select(columns))
+        assert kept.columns == columns and kept.inputFiles()
+        assert tables.kept(name, *columns).inputFiles() == kept.inputFiles()
+
+
 def test_distinct_lines_are_counted_without_sorting_the_heads_again(raw):
     plan = orders.order_rollup(raw["erp_transactions"])._jdf.queryExecution().executedPlan().toString()
     expanded = [line for line in plan.splitlines() if "Expand [" in line]
