@@ -43,6 +43,14 @@ def test_order_reference(spark):
     assert got == ["0002456789", None, "0000000001", None]
 
 
+def test_order_reference_in_any_digits(spark):
+    given = ["\u0661" * 10, "x" + "\u0661" * 10 + " \u06612345678\u0669.", "1" * 11, "", None]
+    got = column(spark, given, ids.order_reference_in)
+    assert got == ["\u0661" * 10, None, None, None, None]
+    plan = spark.range(1).select(ids.order_reference_in(F.lit("a") + F.col("id")))
+    assert "CASE WHEN" in plan._jdf.queryExecution().analyzed().toString()
+
+
 def test_parse_instant(spark):
     got = column(
         spark, ["2023-01-01", "not-a-date", None, "2023-06-01T10:00:00"],
