@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from typing import Any
 
@@ -103,11 +104,22 @@ def with_scores(orders: DataFrame, scores: DataFrame, how: str) -> DataFrame:
     return orders.join(named, same, how).drop(*[f"_{k}" for k in SCORE_KEYS])
 
 
+def _given_risk() -> Column:
+    return reduce(Column.__add__, [F.coalesce(c, F.lit(0.0)) for c in SCORE_COLUMNS])
+
+
+def _mean_of_all() -> Column:
+    return _given_risk() / len(SCORE_COLUMNS)
+
+
+def _mean_of_known() -> Column:
+    known = reduce(Column.__add__, [F.col(c).isNotNull().cast("int") for c in SCORE_COLUMNS])
+    return F.try_divide(_given_risk(), known)
+
+
 def overview_risk(orders: DataFrame, scores: DataFrame, n: int = 1000) -> DataFrame:
     """Orders by composite risk; an order without scores counts as zero risk."""
-    joined = with_scores(orders, scores, "left")
-    total = reduce(Column.__add__, [F.coalesce(c, F.lit(0.0)) for c in SCORE_COLUMNS])
-    return _riskiest(joined.withColumn("composite_risk", total / len(SCORE_COLUMNS)), n).select(
+    return _riskiest(orders, scores, "left", _mean_of_all(), n).select(
         "order_id", "customer_id_clean", "linked_email_count", "max_delivery_lag_days",
         "composite_risk",
     )
@@ -115,33 +127,59 @@ def overview_risk(orders: DataFrame, scores: DataFrame, n: int = 1000) -> DataFr
 
 def scored_risk(orders: DataFrame, scores: DataFrame) -> DataFrame:
     """Scored orders with the mean of the scores they have and a marker size."""
-    joined = with_scores(orders, scores, "inner")
-    total = reduce(Column.__add__, [F.coalesce(c, F.lit(0.0)) for c in SCORE_COLUMNS])
-    known = reduce(Column.__add__, [F.col(c).isNotNull().cast("int") for c in SCORE_COLUMNS])
-    return joined.withColumns(
-        {
-            "composite_risk": F.try_divide(total, known),
-            "lag_size": F.greatest(F.col("max_delivery_lag_days"), F.lit(0)),
-        }
+    return with_scores(orders, scores, "inner").withColumns(
+        {"composite_risk": _mean_of_known(), "lag_size": _lag_size()}
     )
 
 
+def _lag_size() -> Column:
+    return F.greatest(F.col("max_delivery_lag_days"), F.lit(0))
+
+
 def risk_landscape(orders: DataFrame, scores: DataFrame, n: int = 2000) -> DataFrame:
-    return _riskiest(scored_risk(orders, scores), n).select(
+    return _riskiest(orders, scores, "inner", _mean_of_known(), n).select(
         "order_id", "customer_id_clean", "linked_email_count", "document_count",
-        "lag_size", "composite_risk",
+        _lag_size().alias("lag_size"), "composite_risk",
     )
 
 
 def top_risk_orders(orders: DataFrame, scores: DataFrame, n: int = 100) -> DataFrame:
-    return _riskiest(scored_risk(orders, scores), n).select(
+    return _riskiest(orders, scores, "inner", _mean_of_known(), n).select(
         "order_id", "customer_id_clean", "linked_email_count", "document_count",
         "max_delivery_lag_days", *SCORE_COLUMNS, "composite_risk",
     )
 
 
-def _riskiest(df: DataFrame, n: int) -> DataFrame:
-    return df.orderBy(F.desc_nulls_last("composite_risk"), F.asc_nulls_last("order_id")).limit(n)
+# Order ids that a report may hold on the driver.
+MOST_IDS = 10_000
+
+
+def _riskiest(orders: DataFrame, scores: DataFrame, how: str, risk: Column, n: int) -> DataFrame:
+    """The first n of the orders with their scores, by risk and order id.
+
+    The risk follows from the scores alone, so the leading scores are found first, and figures
+    are computed for their orders only. That is the whole answer when n rows stand at or before
+    the last of these scores, whose risk is above that of orders without scores: every other row
+    then comes later. Else all orders are ranked.
+    """
+    ranked = lambda rows: rows.withColumn("composite_risk", risk).orderBy(
+        F.desc_nulls_last("composite_risk"), F.asc_nulls_last("order_id")
+    )
+    everything = ranked(with_scores(orders, scores, how)).limit(n)
+    if 4 * n > MOST_IDS:
+        return everything
+    leading = ranked(scores).select("order_id", "composite_risk").limit(4 * n).collect()
+    last_id, last_risk = leading[-1] if leading else (None, None)
+    if last_id is None or last_risk is None or not last_risk > 0:
+        return everything
+    known = {row["order_id"] for row in leading}
+    # A null id, which meets null, comes last among equal risks.
+    chosen = F.col("order_id").isin(sorted(known - {None}))
+    chosen = chosen | F.col("order_id").isNull() if None in known else chosen
+    rows = ranked(with_scores(orders.where(chosen), scores.where(chosen), how))
+    found, last = F.col("composite_risk"), F.lit(last_risk)
+    ahead = (found > last) | ((found == last) & (F.col("order_id") <= last_id))
+    return rows.limit(n) if rows.where(ahead).count() >= n else everything
 
 
 # --- Customer and order pages -----------------------------------------------
@@ -215,17 +253,23 @@ def order_options(orders: DataFrame) -> DataFrame:
 
 def order_kpis(orders: DataFrame, scores: DataFrame | None = None) -> DataFrame:
     """Figures of the order page; with scores also the risk percentages."""
-    kpis = orders.select(
+    kpis = [
         "order_id",
         F.col("order_line_count").alias("lines"),
         F.concat(F.col("max_delivery_lag_days").cast("string"), F.lit(" days")).alias("max_lag"),
         text.true_false(F.col("will_generate_complaint")).alias("complaint_flag"),
         text.true_false(F.col("will_generate_credit_memo")).alias("credit_flag"),
-    )
+    ]
     if scores is None:
-        return kpis
+        return orders.select(*kpis)
+    # Numbers meet, and are shown as texts afterwards.
+    figures = orders.select(
+        "order_id", "order_line_count", "max_delivery_lag_days", "will_generate_complaint",
+        "will_generate_credit_memo",
+    )
     risk = [numbers.percent(F.col(c), 1).alias(f"{c}_text") for c in SCORE_COLUMNS]
-    return kpis.join(scores.select("order_id", *risk), "order_id", "left")
+    joined = figures.join(scores.select("order_id", *SCORE_COLUMNS), "order_id", "left")
+    return joined.select(*kpis, *risk)
 
 
 def linked_documents(documents: DataFrame) -> DataFrame:
