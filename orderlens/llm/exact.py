@@ -78,7 +78,8 @@ def identities(docs: DataFrame, block_chars: int = BLOCK_CHARS, head_chars: int
         lambda i: F.substring(F.col("norm"), i * block_chars + 1, F.lit(block_chars)),
     )
     blocks = text.select("row", F.posexplode(cut).alias("place", "block"))
-    level = blocks.join(_named(blocks, ["block"]), "block").select("row", "place", "name")
+    # Blocks are whole texts, which Spark takes for as small as their file: never broadcast.
+    level = blocks.join(_named(blocks, ["block"]).hint("merge"), "block").select("row", "place", "name")
     width = -(-tied.agg(F.max("length")).first()[0] // block_chars)
     while width > 1:
         half = level.select(

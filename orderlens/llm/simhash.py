@@ -97,11 +97,13 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     variants = prints.repartition(tasks, "fp").select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("v"))
     variants = variants.selectExpr("fp", f"{variant} AS key")
     sizes = variants.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = written(variants.join(sizes, "key"), "variants")
+    # Spark takes exploded rows to be as small as those before, and would broadcast all variants:
+    # the joins of variants are named.
+    shared = written(variants.join(sizes.hint("merge"), "key"), "variants")
     apart = "a.fp < b.fp AND bit_count(a.fp ^ b.fp) <= 2"
     at_key = f"CAST(shiftright(a.key, 32) AS INT) = {_canonical('(a.fp ^ b.fp)', 32)}"
     small = shared.where(F.col("size") <= bucket)
-    near = small.alias("a").join(small.alias("b"), F.expr(f"a.key = b.key AND {apart} AND {at_key}"))
+    near = small.alias("a").join(small.alias("b").hint("merge"), F.expr(f"a.key = b.key AND {apart} AND {at_key}"))
     near = near.selectExpr("a.fp AS a", "b.fp AS b")
     large = shared.where(F.col("size") > bucket)
     if large.isEmpty():
@@ -117,7 +119,7 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     rest = "(shiftright(a.fp ^ b.fp, CAST(1 - shiftright(a.key, 37) AS INT) * 32) & 4294967295L)"
     at_sub = f"CAST(shiftright(a.sub, 16) AS INT) = {_canonical(rest, 16)}"
     both = F.expr(f"a.key = b.key AND a.sub = b.sub AND {apart} AND {at_key} AND {at_sub}")
-    dense = finer.alias("a").join(finer.alias("b"), both).selectExpr("a.fp AS a", "b.fp AS b")
+    dense = finer.alias("a").join(finer.alias("b").hint("merge"), both).selectExpr("a.fp AS a", "b.fp AS b")
     return near.unionByName(dense)
 
 

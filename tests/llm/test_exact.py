@@ -43,6 +43,12 @@ def test_texts_that_differ_in_one_block(spark):
     assert found(exact.exact_duplicates(df, 16, 4)) == brute(rows)
 
 
+def test_blocks_are_never_broadcast(spark):
+    df = spark.createDataFrame([(i, "abcdefgh" * 40 + "xy"[i % 2]) for i in range(4)], "doc_id long, text string")
+    plan = exact.identities(df, 512, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=merge)" in plan
+
+
 def test_empty_table(nothing):
     assert exact.exact_duplicates(nothing).collect() == []
     assert exact.without_copies(nothing).collect() == []

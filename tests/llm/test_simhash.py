@@ -79,6 +79,15 @@ def test_links_lose_no_pair_and_repeat_none(spark, bucket):
     assert len(want) > 100 and len(pairs) == len(set(pairs)) and set(pairs) == want
 
 
+def test_variants_are_never_broadcast(spark, monkeypatch):
+    plans, write = [], simhash.written
+    planned = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(simhash, "written", lambda df, label: planned(df) or write(df, label))
+    df = spark.createDataFrame([(p,) for p in clouds(7)], "fp long")
+    planned(simhash.links(df, 10))
+    assert all("SortMergeJoin" in plan and "BroadcastHashJoin" not in plan for plan in plans)
+
+
 def test_components_of_paths_stars_and_rings(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)]
     edges += [(200 + i, 200 + (i + 1) % 9) for i in range(9)] + [(-5, 300), (300, 301), (-5, 300)]
