@@ -261,3 +261,21 @@ def test_terms_are_counted_inside_their_row(spark):
     assert ("bb", 3) in [(r[1], r[2]) for r in got] and ("été", 3) in [(r[1], r[2]) for r in got]
     plan = each_term(runs, ["k"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Aggregate" not in plan
+
+
+def test_what_only_the_build_reads_is_removed(spark):
+    path = new_work_dir(spark, "lean")
+    ix = build_index(corpus_of(spark, rows()), path, STOP)
+    assert not any(path_exists(spark, f"{path}/{name}") for name in ("terms", "idfs"))
+    kept = spark.read.parquet(f"{path}/vectors")
+    assert "weights" not in kept.columns  # they fill most of a file, their factors little
+    product = "transform(arrays_zip(tfs, idfs), x -> x.tfs * x.idfs / norm)"
+    assert sorted(kept.selectExpr("place", f"{product} AS w").collect()) == sorted(
+        ix.vectors.select("place", "weights").collect()
+    )
+    entries = {(r.place, r.term): r.weight for r in ix.postings.collect()}
+    greatest = {}
+    for (place, term), weight in entries.items():
+        block = place // 128, term
+        greatest[block] = max(weight, greatest.get(block, 0.0))
+    assert {(r.block, r.term): r.bound for r in ix.bounds.collect()} == greatest
