@@ -1,13 +1,14 @@
 from __future__ import annotations
 
 import re
+import time
 
 import pytest
 from conftest import DOMAIN
 
 from orderlens.operators.running import ranked_in_time
 from orderlens.pipeline import Pipeline
-from orderlens.session import new_work_dir, shared_dir
+from orderlens.session import new_work_dir, shared_dir, written
 from orderlens.sources import entities
 from orderlens.sources.raw import RAW_FILES, file_listing, fingerprint, raw_paths, read_database_table
 from orderlens.sources.store import Store
@@ -107,3 +108,15 @@ def test_ranks_of_a_key_equal_a_window(spark):
     want = rows.selectExpr("k", "e", "at", "rank() OVER (PARTITION BY k ORDER BY at ASC NULLS LAST, e) AS n")
     got = ranked_in_time(rows, "k", "at", "e", "n").select("k", "e", "at", "n")
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_shuffle_files_go_with_their_job(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    seen = lambda: {str(b) for b in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
+        disk.getAllBlocks()) if str(b).startswith("shuffle_")}
+    before = seen()
+    written(spark.range(1000).repartition(4, "id"), "shuffled")
+    until = time.time() + 20
+    while seen() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not seen() - before
